@@ -78,7 +78,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_ids: in
     equal doc_id follow each other by text.  An empty table gives no file.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(spread(docs), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
