@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
-from .shared import _written, shared_folder
+from . import fuzzyhash, html_text, mixing, packing, sharding, simhash, token_files, vectors, warc
+from .shared import new_path
 from .tokens import vocabulary
 
 
@@ -16,11 +14,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/tidemark/token-files-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-files")
     token_files.write(_table(spark, sf_dir, "documents"), path, vocabulary(), end_id=2)
-    _written.append(path)
     return token_files.read(spark, path)
 
 
-QUERIES = {"op1_token_files": op1_token_files}
-ORACLE_SQL: dict[str, str] = {}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=2).select("doc_id", "fingerprint", "component_id")
+
+
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=4096)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_table(spark, sf_dir, "documents"), share=1.5, weights=(3, 1, 2), most=2.0)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op8_fuzzyhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzyhash.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return warc.read(spark, path).drop("url")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_vectors, op5_packing, op6_mixing, op7_sharding, op8_fuzzyhash, op9_html_text, op10_warc)}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL}

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 #: Rows of a side that may be broadcast once they have been counted.
 BROADCAST_ROWS = 100_000
 #: Rows per bucket when rows are numbered without gaps.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 20_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -36,12 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    _written.append(f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs only reads."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
@@ -140,4 +145,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-__all__ = ["BROADCAST_ROWS", "components", "drop_written", "map_arrow", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "written"]
+__all__ = ["BROADCAST_ROWS", "components", "drop_written", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "written"]
