@@ -28,8 +28,8 @@ from .shared import map_arrow, small_or_shuffled, written
 from .tokens import tokenizer
 
 Filling = tuple[int, ...]
-#: Fillings tried for one sequence; steps looked at for one filling list; steps of a whole search.
-BRANCH, NODES, STEPS = 6, 400, 60_000
+#: Fillings tried for one sequence; steps looked at for one filling list; steps of a whole search, besides two for each length.
+BRANCH, NODES, STEPS = 4, 80, 2_000
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -111,12 +111,12 @@ def _dominated(chosen: Filling, waste: int, counts: np.ndarray) -> bool:
     """Whether a free larger length could stand for one or two of those chosen within the waste."""
     used = Counter(chosen)
     for x in used:
-        if waste and any(counts[y] > used[y] for y in range(x + 1, min(x + waste, len(counts) - 1) + 1)):
+        if waste and any(counts[y] > used[y] for y in (np.flatnonzero(counts[x + 1 : x + waste + 1]) + x + 1).tolist()):
             return True
     two = list(used.elements())[:6]
     for i, x in enumerate(two):
         for y in two[i + 1 :]:
-            if any(counts[z] > used[z] for z in range(x + y, min(x + y + waste, len(counts) - 1) + 1)):
+            if any(counts[z] > used[z] for z in (np.flatnonzero(counts[x + y : x + y + waste + 1]) + x + y).tolist()):
                 return True
     return False
 
@@ -140,18 +140,16 @@ def _complete(hist: dict[int, int], capacity: int, waste: int) -> list[tuple[Fil
         options.append(choice)
         while True:
             steps += 1
-            if steps > STEPS:
-                return None
-            if not options:
+            if steps > STEPS + 2 * len(hist) or not options:
                 return None
             if options[-1]:
                 filling = options[-1].pop(0)
                 need = Counter(filling)
                 times = int(min(counts[x] // n for x, n in need.items()))
                 loss = capacity - sum(filling)
-                if loss:  # a wasteful filling is used once, so that others get their turn
-                    times = 1 if spent + loss <= waste else 0
-                if times and spent + loss * times <= waste:
+                if loss:
+                    times = min(times, (waste - spent) // loss)
+                if times:
                     for x, n in need.items():
                         counts[x] -= n * times
                     spent += loss * times
