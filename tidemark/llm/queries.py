@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fuzzyhash, html_text, mixing, packing, sharding, simhash, token_files, vectors, warc
+from . import fuzzyhash, html_text, langid, mixing, packing, sharding, simhash, token_files, vectors, warc
 from .shared import new_path
 from .tokens import vocabulary
 
@@ -27,6 +27,10 @@ def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=4096)
 
@@ -53,5 +57,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_vectors, op5_packing, op6_mixing, op7_sharding, op8_fuzzyhash, op9_html_text, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_vectors, op4_language, op5_packing, op6_mixing, op7_sharding, op8_fuzzyhash, op9_html_text, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL}

@@ -7,10 +7,12 @@ vectors, so two fingerprints that differ in at most r bits agree under some mask
 (Pagh 2016): candidates are complete, and an exact check of the distance follows.
 
 Only distinct fingerprints meet.  A bucket of two is a pair; larger buckets are
-compared inside one task as a block while they are small, and beyond that by
+compared inside one task as a block while they are small.  Beyond that, blocks of
+a bucket are compared two by two in different tasks or, for radius 2, by
 half-radius balls: fingerprints at distance 2 have a common neighbour at distance
 1, and two of one neighbour's ball are at distance 2 at most, so each
-neighbour's group is joined by a star of links.  No group is expanded into pairs.
+neighbour's group is joined by a star of links.  Tasks return links that span
+what is connected; no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -101,7 +103,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     buckets = written(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-buckets")
     pairs = buckets.where(f"n = 2 and bit_count(a ^ b) <= {radius}").select("a", "b")
     members = keyed.join(buckets.where("n > 2").select("t", "key", "n"), ["t", "key"])
-    lists = members.where(F.col("n") <= block).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
+    if radius == 2:  # crowds of any size by half-radius balls
+        crowd = members.where(F.col("n") > block).select("fp").distinct()
+        members = members.where(F.col("n") <= block)
+    # a bucket is one block, or as many as its size takes, compared two by two
+    count = F.ceil(F.col("n") / block).cast("int")
+    own = members.select("t", "key", "fp", count.alias("blocks"), F.pmod(F.xxhash64("fp", "t"), count).cast("int").alias("own"))
+    dealt = own.select("t", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.groupBy("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    lists = dealt.agg(F.collect_list("fp").alias("fps"))  # those of two blocks at most
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,9 +119,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     small = lists.select("fps").mapInArrow(inside, "a long, b long")
-    crowd = members.where(F.col("n") > block).select("fp").distinct()
-    ball = balls(crowd, radius)
-    return pairs.union(small).union(ball).distinct()
+    out = pairs.union(small)
+    return (out.union(balls(crowd, radius)) if radius == 2 else out).distinct()
 
 
 def balls(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
