@@ -32,7 +32,7 @@ def difference(sums: np.ndarray) -> np.ndarray:
     if not n:
         return labels
     order = np.argsort(-sums, axis=1, kind="stable")
-    nodes = [np.take_along_axis(sums, order, 1)[i] for i in range(n)]
+    nodes = list(np.take_along_axis(sums, order, 1))
     made: list[tuple[int, int, np.ndarray]] = []
     heap = [(-int(x[0] - x[-1]), i) for i, x in enumerate(nodes)]
     heapq.heapify(heap)
