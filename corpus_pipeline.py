@@ -15,9 +15,8 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which the byte network finds a language; texts that are null or without letters go."""
-    found = langid.identify(docs, langid.fit(docs))
     kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.where(kept).select(docs.columns)
+    return langid.judged(docs, langid.fit(docs)).where(kept).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ from .shared import map_arrow
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label".split())
 FURNITURE = frozenset("aside button canvas datalist dialog footer form head iframe math menu nav noscript object script select style svg template textarea title".split())
+#: Elements that neither show nor break a line.
+UNSEEN = frozenset(("script", "style", "template"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 REGIONS = frozenset(("article", "main"))
 #: Words of a class or an id that mark furniture, and a content region.
@@ -74,7 +76,8 @@ class Lines(HTMLParser):
 
     def pop(self, n: int) -> None:
         """Closes the innermost n elements."""
-        self.flush()
+        if any(tag not in UNSEEN and tag not in INLINE for tag, _, _ in self.open[len(self.open) - n :]):
+            self.flush()
         for tag, furniture, outside in reversed(self.open[len(self.open) - n :]):
             self.skip -= furniture
             self.region = outside
@@ -101,7 +104,7 @@ class Lines(HTMLParser):
         if tag == "br" or tag == "hr" or tag == "img":
             if not self.skip:
                 self.buffer.append(" ")
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             self.flush()
         if tag in VOID:
             return
@@ -130,7 +133,7 @@ class Lines(HTMLParser):
             if self.open[i][0] == tag:
                 self.pop(len(self.open) - i)
                 return
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             self.flush()
 
     def handle_data(self, data: str) -> None:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import map_arrow
 
@@ -215,31 +216,33 @@ def predict_texts(net: Network, texts: list[str | None], tables: tuple[np.ndarra
 UNKNOWN = "und"
 
 
-def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with lang_pred and score, from text alone.
+def judged(docs: DataFrame, net: Network | None) -> DataFrame:
+    """(row, lang_pred, score): each row of docs (text and any other columns) as a struct, judged by its text alone.
 
     A text that is null or has no letter, and any text without a network, is
     `und` with score 0.
     """
-    names = [c for c in docs.columns]
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("lang_pred", "string").add("score", "double")
-    at = names.index("text")
-    spelled = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
         for b in batches:
-            letters = np.array(b.column(len(names)).to_pylist(), bool) & (net is not None)
-            which = np.flatnonzero(letters)
+            which = np.flatnonzero(np.array(b.column(2).to_pylist(), bool)) if net else np.empty(0, np.int64)
             lang = np.full(b.num_rows, UNKNOWN, object)
             score = np.zeros(b.num_rows)
             if len(which):
-                got = predict_texts(net, b.column(at).take(pa.array(which)).to_pylist(), tables)
+                got = predict_texts(net, b.column(1).take(pa.array(which)).to_pylist(), tables)
                 lang[which], score[which] = [g[0] for g in got], [g[1] for g in got]
-            columns = [b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang.tolist(), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+
+    return map_arrow(rows, run, schema)
 
-    return map_arrow(spelled, run, schema)
+
+def identify(docs: DataFrame, net: Network | None) -> DataFrame:
+    """docs with lang_pred and score, which replace columns of these names; see judged."""
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return judged(docs, net).select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -254,4 +257,4 @@ def describe(net: Network) -> str:
     return json.dumps({"languages": net.languages, "classes": K, "filters": FILTERS, "widths": WIDTHS, "window": LENGTH})
 
 
-__all__ = ["Network", "fit", "held_out", "identify", "languages", "predict_texts", "sample", "train", "windows_of"]
+__all__ = ["Network", "fit", "held_out", "identify", "judged", "languages", "predict_texts", "sample", "train", "windows_of"]
