@@ -64,5 +64,6 @@ def test_bounds_reach_the_scan(spark, tmp_path):
     from tidemark.queries import log_of
 
     log_of(spark, SF)[0].write.parquet(f"{tmp_path}/log")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     plan = resolve(spark.read.parquet(f"{tmp_path}/log"), 500, 0, "000010", "000020")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(seq,500)" in plan and "GreaterThanOrEqual(key,000010)" in plan and "LessThan(key,000020)" in plan
