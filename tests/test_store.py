@@ -121,3 +121,14 @@ def test_streaming_is_idempotent(spark, store, tmp_path):
     ingest.seal(store)
     assert ingest.append_once(store, rows, 40) == 3
     assert ingest.is_durable(5, 5) and not ingest.is_durable(6, 5) and ingest.is_durable((1 << 31) - 1, 3)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    root = f"file://{tmp_path}/cli"
+    for args in (["put", "a", "1"], ["put", "b", "2"], ["del", "a"], ["compact"], ["scan"], ["stats"]):
+        assert main([root, *args]) == 0
+    assert main([root, "get", "a"]) == 1 and main([root, "get", "b"]) == 0
+    out = capsys.readouterr().out.split("\n")
+    assert out[:3] == ["1", "2", "3"] and out[3] == "b\t2" and out[5] == "2"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -9,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bins import bin_of, sampled_bounds
+
 #: Distinct ranges that may be broadcast; more are swept key range by key range.
 BROADCAST_RANGES = 5_000
-#: Keys sampled for the bounds of the sweep's key ranges, per range.
-SAMPLE_PER_BIN = 40
 
 
 def distinct_ranges(ranges: DataFrame, by: list[str], carry: list[str]) -> DataFrame:
@@ -42,24 +43,17 @@ def newest_cover(keys: DataFrame, ranges: DataFrame, how: str = "auto", by: list
 
 def _sweep(keys: DataFrame, ranges: DataFrame, by: list[str], carry: list[str]) -> DataFrame:
     """Deals keys and ranges to key ranges with sampled bounds, then paints each with its tombstones, newest first."""
-    bins = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    want = bins * SAMPLE_PER_BIN
-    n = max(1, keys.count())
-    found = sorted(r.key for r in keys.sample(min(1.0, 2 * want / n), seed=1).limit(4 * want).collect())  # a bounded sample
-    bounds = [found[i * len(found) // bins] for i in range(1, bins)] if found else []
-    bounds = sorted(set(bounds))
-    literal = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    below = lambda c, strict: F.lit(0) if literal is None else F.size(F.filter(literal, lambda b: b < c if strict else b <= c))
-    dealt = keys.select("key", below(F.col("key"), False).alias("bin"))
-    spread = ranges.select("*", F.explode(F.sequence(below(F.col("start"), False), below(F.col("end"), True))).alias("bin"))
+    bounds = sampled_bounds(keys)
+    dealt = keys.select("key", bin_of(F.col("key"), bounds).alias("bin"))
+    spread = ranges.select("*", F.explode(F.sequence(bin_of(F.col("start"), bounds), bin_of(F.col("end"), bounds, True))).alias("bin"))
     kind = keys.schema["key"].dataType
     schema = T.StructType([T.StructField("key", kind), *[ranges.schema[c] for c in by], T.StructField("cover", T.LongType()), *[ranges.schema[c] for c in carry]])
 
     def paint(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({f.name: [] for f in schema})]
-        line = sorted(left["key"], key=bytes if left["key"].map(lambda k: isinstance(k, (bytes, bytearray))).any() else lambda k: k.encode() if isinstance(k, str) else k)
-        order = [bytes(k) if isinstance(k, (bytes, bytearray)) else k.encode() if isinstance(k, str) else k for k in line]
         plain = lambda k: bytes(k) if isinstance(k, (bytes, bytearray)) else k.encode() if isinstance(k, str) else k
+        line = sorted(left["key"], key=plain)
+        order = [plain(k) for k in line]
         for values, group in right.groupby(by, sort=False, dropna=False) if by else [((), right)]:
             group = group.sort_values("seq", ascending=False, kind="stable")
             owner = np.full(len(line), -1)
@@ -72,7 +66,7 @@ def _sweep(keys: DataFrame, ranges: DataFrame, by: list[str], carry: list[str])
                 return i
 
             for at, (start, end) in enumerate(zip(group["start"].map(plain), group["end"].map(plain), strict=True)):
-                i, stop = find(_left(order, start)), _left(order, end)
+                i, stop = find(bisect_left(order, start)), bisect_left(order, end)
                 while i < stop:
                     owner[i] = at
                     after[i] = i + 1
@@ -86,12 +80,6 @@ def _sweep(keys: DataFrame, ranges: DataFrame, by: list[str], carry: list[str])
     return dealt.groupBy("bin").cogroup(spread.groupBy("bin")).applyInPandas(paint, schema)
 
 
-def _left(order: list, key) -> int:
-    import bisect
-
-    return bisect.bisect_left(order, key)
-
-
 def coalesce(ranges: DataFrame) -> DataFrame:
     """Ranges (start, end, seq) of one seq that overlap or touch, merged."""
     seen = "max(end) over (partition by seq order by start, end rows between unbounded preceding and 1 preceding)"

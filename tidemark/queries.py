@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fingerprint
+from .functions.keys import decimal_key, recorder_key, tick_of
 from .operators import diff as diffs
 from .operators import recorder, retention, scan, tombstones
+from .operators.bins import with_rank
 from .plans.resolve import newest, read, resolve, resolve_merged
-from .schema import DELETE, LATEST, sequenced
+from .schema import DELETE, LATEST, checked, sequenced
 from .sources.archive import resurrected
 from .streaming.ingest import complete
 
@@ -89,7 +91,7 @@ def table_query(sql: str | None = None):
 
 N, HALF = "(SELECT n FROM n)", "(SELECT n // 2 FROM n)"
 SNAPS = "(SELECT n // 4 AS s FROM n UNION ALL SELECT n // 2 FROM n UNION ALL SELECT 3 * n // 4 FROM n)"
-ranked = "row_number() over (order by key{}) as rank"
+ranked = "row_number() over (order by key{}) as rank"  # of the SQL
 
 
 def snapshots(n: int) -> list[int]:
@@ -175,23 +177,24 @@ def prefix_scan(log, n):
 
 @query(view_sql() + " SELECT key, val, seq, " + ranked.format("") + " FROM v")
 def full_scan(log, n):
-    return resolve(log).selectExpr("key", "val", "seq", ranked.format(""))
+    return with_rank(resolve(log))
 
 
 @query(view_sql() + " SELECT key, val, seq, " + ranked.format(" desc") + " FROM v WHERE key <= '000020/view' AND key > '000010/view'")
 def reverse_scan(log, n):
-    return scan.reverse_scan(resolve(log), "000020/view", "000010/view").selectExpr("key", "val", "seq", ranked.format(" desc"))
+    return with_rank(scan.reverse_scan(resolve(log), "000020/view", "000010/view"), reverse=True)
 
 
 @query(view_sql(HALF, HALF) + " SELECT key, val, seq, " + ranked.format(" desc") + " FROM v WHERE key <= '000020/view' AND key > '000010/view'")
 def timed_reverse_scan(log, n):
-    return scan.reverse_scan(resolve(log, n // 2, n // 2), "000020/view", "000010/view").selectExpr("key", "val", "seq", ranked.format(" desc"))
+    return with_rank(scan.reverse_scan(resolve(log, n // 2, n // 2), "000020/view", "000010/view"), reverse=True)
 
 
 @query(view_sql() + f" SELECT 'up' AS direction, key, val, {ranked.format('')} FROM v WHERE {_BETWEEN} UNION ALL SELECT 'down', key, val, {ranked.format(' desc')} FROM v WHERE {_BETWEEN}")
 def store_range(log, n):
     view = scan.scan(resolve(log, start="000010", end="000020"), "000010", "000020")
-    return view.selectExpr("'up' as direction", "key", "val", ranked.format("")).union(view.selectExpr("'down'", "key", "val", ranked.format(" desc")))
+    up, down = with_rank(view), with_rank(view, reverse=True)
+    return up.selectExpr("'up' as direction", "key", "val", "rank").union(down.selectExpr("'down'", "key", "val", "rank"))
 
 
 @query(view_sql(HALF) + " (SELECT key, val, seq FROM v ORDER BY key LIMIT 10) UNION ALL (SELECT key, val, seq FROM v ORDER BY key DESC LIMIT 10)")
@@ -226,9 +229,9 @@ def version_ranks(log, n):
     return scan.version_ranks(log)
 
 
-@query("x AS (SELECT 1) SELECT key, seq, op, row_number() OVER (ORDER BY key, seq DESC) AS place FROM log WHERE seq > 7 * ((SELECT n FROM n) // 8) AND op <> 3")
+@query("x AS (SELECT 1) SELECT key, seq, op, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS place FROM log WHERE seq > 7 * ((SELECT n FROM n) // 8) AND op <> 3")
 def memtable_scan(log, n):
-    return log.where((F.col("seq") > 7 * (n // 8)) & (F.col("op") != 3)).selectExpr("key", "seq", "op", "row_number() over (order by key, seq desc) as place")
+    return log.where((F.col("seq") > 7 * (n // 8)) & (F.col("op") != 3)).selectExpr("key", "seq", "op", "row_number() over (partition by key order by seq desc) as place")
 
 
 @query(f"s AS {SNAPS} SELECT s.s AS watermark, key, arg_max(op, seq) AS op, max(seq) AS seq FROM log JOIN s ON seq <= s.s WHERE op <> 3 GROUP BY 1, 2")
@@ -260,6 +263,25 @@ def winners(log, n):
     return newest(read(log)[0]).select("key", "op", "expire_at", "seq")
 
 
+# writing, as the view that results
+
+
+@query("x AS (SELECT 1) SELECT CAST(op AS INTEGER) AS op, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, count(val) AS with_value, max(expire_at) AS last_expiry FROM log WHERE NOT (op = 3 AND key >= val) GROUP BY op")
+def mutations(log, n):
+    good, _ = checked(log.where("seq > 0"))
+    return good.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("val").alias("with_value"), F.max("expire_at").alias("last_expiry"))
+
+
+@query("x AS (SELECT 1) SELECT seq, 'key too large' AS fault FROM log WHERE length(key) > 13 AND NOT (op = 3 AND key >= val) UNION ALL SELECT seq, 'empty range' FROM log WHERE op = 3 AND key >= val")
+def rejected_mutations(log, n):
+    return checked(log, key_max=13)[1].select("seq", "fault")
+
+
+@query("x AS (SELECT 1) SELECT seq, lpad(CAST(seq AS VARCHAR), 16, '0') AS decimal_key, seq AS tick FROM log")
+def key_codecs(log, n):
+    return log.select("seq", decimal_key(F.col("seq")).alias("decimal_key"), tick_of(recorder_key(F.col("seq"), "r", F.lit(2))).alias("tick"))
+
+
 # retention
 
 _KEPT = "SELECT * FROM (SELECT *, lag(seq) OVER (PARTITION BY {by} ORDER BY seq DESC) AS newer FROM {src}) x WHERE newer IS NULL OR EXISTS (SELECT 1 FROM " + SNAPS + " s WHERE x.seq <= s.s AND s.s < x.newer)"
@@ -600,6 +622,11 @@ def integrity_report(spark, sf_dir):
     return recorder.integrity(records_of(spark, sf_dir))
 
 
+@table_query(f"{_R} SELECT tick, id, val, intact FROM r WHERE kind = 'r' AND tick = 7 AND id = 2")
+def one_reading(spark, sf_dir):
+    return records_of(spark, sf_dir).where("kind = 'r' and tick = 7 and id = 2").select("tick", "id", "val", "intact")
+
+
 @table_query(f"{_R} SELECT min(tick) AS oldest, max(tick) AS newest FROM r")
 def tick_bounds(spark, sf_dir):
     return recorder.tick_bounds(records_of(spark, sf_dir))
@@ -643,6 +670,14 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 _O = "WITH o AS (SELECT CAST(o_orderkey AS BIGINT) + 1 AS seq, 1 AS op, lpad(CAST(o_custkey AS VARCHAR),16,'0') AS key, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS val, 0 AS expire_at FROM orders), w AS (SELECT key, arg_max(val, seq) AS val, max(seq) AS seq FROM o GROUP BY key)"
 
 
+@table_query(f"{_O}, t AS (SELECT o.seq, o.key, o.val FROM o UNION ALL SELECT seq + (SELECT max(seq) FROM o), key, concat(val, '0') FROM o WHERE seq % 3 = 0) SELECT key, arg_max(val, seq) AS val, max(seq) AS seq FROM t GROUP BY key")
+def overwrite(spark, sf_dir):
+    """Every third order written once more, as later mutations."""
+    rows = _orders(spark, sf_dir)
+    top = rows.agg(F.max("seq")).first()[0] or 0
+    return resolve(rows.union(rows.where("seq % 3 = 0").withColumns({"seq": F.col("seq") + top, "val": F.concat("val", F.lit("0"))})), tombstones="none")
+
+
 @table_query(f"{_O} SELECT * FROM w")
 def read_seq(spark, sf_dir):
     return resolve(_orders(spark, sf_dir), tombstones="none")
@@ -650,7 +685,7 @@ def read_seq(spark, sf_dir):
 
 @table_query(f"{_O} SELECT key, val, seq, row_number() OVER (ORDER BY key DESC) AS rank FROM w WHERE key <= '0000000000000500'")
 def read_reverse(spark, sf_dir):
-    return scan.reverse_scan(resolve(_orders(spark, sf_dir), tombstones="none"), "0000000000000500").selectExpr("key", "val", "seq", ranked.format(" desc"))
+    return with_rank(scan.reverse_scan(resolve(_orders(spark, sf_dir), tombstones="none"), "0000000000000500"), reverse=True)
 
 
 @table_query(f"{_O}, k AS (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR),16,'0') AS key FROM customer WHERE c_custkey % 3 = 0) SELECT k.key, w.val, w.seq, w.key IS NOT NULL AS found FROM k LEFT JOIN w ON w.key = k.key")

@@ -84,11 +84,14 @@ def sequenced(batches: DataFrame, base: int) -> DataFrame:
     """Log rows of a table of batches (batch_id, ops), ops an array of structs (op, key, val, expire_at).
 
     Batches follow each other by batch_id and operations by their place; a later
-    operation of a batch has a higher sequence number.  The offsets of batches are
-    a running sum of their sizes, on (batch_id, size) rows alone.
+    operation of a batch has a higher sequence number.  A batch's offset is the
+    size of the batches before it: a running sum within a block of 65,536 ids, and
+    one over blocks, a row each.
     """
-    sizes = batches.select("batch_id", F.size("ops").cast("long").alias("n"))
-    first = sizes.select("batch_id", F.expr("sum(n) over (order by batch_id) - n").alias("before"))
+    sizes = batches.selectExpr("batch_id", "cast(size(ops) as bigint) as n", "batch_id div 65536 as block")
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n")).selectExpr("block", "sum(n) over (order by block) - n as base")
+    within = sizes.selectExpr("batch_id", "block", "sum(n) over (partition by block order by batch_id) - n as before")
+    first = within.join(blocks, "block").selectExpr("batch_id", "base + before as before")
     flat = batches.select("batch_id", F.posexplode("ops").alias("pos", "o"))
     return flat.join(first, "batch_id").select((F.lit(base) + F.col("before") + F.col("pos")).alias("seq"), "o.op", "o.key", "o.val", "o.expire_at", "batch_id")
 
