@@ -252,6 +252,8 @@ def test_main_text():
         ("<article><p>cut &amp; off</p><p cla", "cut & off"),
         ("<article><p>a < b &am", "a < b &am"),
         ("<nav>menu</nav>", ""),
+        ('<div class="content with-sidebar"><p>kept</p><div id=userComments>no</div></div>', "kept"),
+        ("<article>a<span class=ad>no</span>b<iframe>no</iframe></article>", "ab"),
         ("<body><div><p>" + "Body text without an article. " * 5 + "</p><p>more</p></div><div class=footer>f</div>", "Body text without an article. " * 5 + "more"),
         ("<!-- c --><article>x<script>y</script>z</article>", "xz"),
     ],

@@ -34,9 +34,11 @@ REGIONS = frozenset(("article", "main"))
 #: Words of a class or an id that mark furniture, and a content region.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"sidebar|side-?bar|aside|rail|menu|nav|navbar|navigation|breadcrumbs?|topbar|toolbar|footer|masthead|site-?header|page-?header|pager|pagination|"
-    r"comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommended|widgets?|skip-?link|hidden|sr-only|copyright|legal|disclaimer)(?:$|[\s_-]|\d)"
+    r"sidebar|side-?bar|aside|rail|menu|nav|navbar|topnav|subnav|sidenav|navigation|announcements?|alerts?|toast|interstitial|paywall|lightbox|breadcrumbs?|topbar|toolbar|footer|masthead|site-?header|page-?header|pager|pagination|"
+    r"comments?|commentlist|replies|reply|respond|responses|feedback|guestbook|disqus|discussion|share|sharing|social|related|recommended|widgets?|skip-?link|hidden|sr-only|copyright|legal|disclaimer)(?:$|[\s_-]|\d)"
 )
+#: Names that tell of furniture elsewhere.
+ELSEWHERE = re.compile(r"(?:^|\s)(?:has|with|no|without)-\S+")
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|article-?body|post-?body|maintext)(?:$|[\s_-])")
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An element of these ends at the next one of its set.
@@ -49,7 +51,7 @@ _CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 @functools.lru_cache(maxsize=4096)
 def _marks(names: str) -> tuple[bool, bool]:
-    names = re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()
+    names = ELSEWHERE.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower())
     return bool(MARKED.search(names)), bool(CONTENT.search(names))
 
 
