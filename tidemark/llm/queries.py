@@ -54,8 +54,20 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path, least_bytes=0)
-    return warc.read(spark, path).drop("url")
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op3_vectors, op4_language, op5_packing, op6_mixing, op7_sharding, op8_fuzzyhash, op9_html_text, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL}
+#: Links by comparing all pairs, and what they reach.
+_VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+ r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+ c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+ SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
+#: Five hexadecimal digits of a SHA-1 are four letters of base 32.
+_WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+ t AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM t"""
+ORACLE_SQL: dict[str, str] = {"op3_vectors": _VECTORS_SQL, "op6_mixing": mixing.ORACLE_SQL, "op10_warc": _WARC_SQL}
