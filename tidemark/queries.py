@@ -536,7 +536,11 @@ def scan_checksum(log, n):
     return resolve(log).agg(F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("key") + F.octet_length("val")).alias("bytes"))
 
 
-@query()
+#: The table of CRC-32 by its rule, eight steps for each byte.
+_CRC = """t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))) AS t)"""
+
+
+@query(f"{view_sql()}, {_CRC} SELECT key, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(val, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t.t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295::BIGINT) AS crc FROM v, t")
 def crc32_values(log, n):
     return resolve(log).select("key", F.crc32(F.col("val").cast("binary")).alias("crc"))
 
