@@ -30,6 +30,8 @@ from .shared import components, map_arrow, written
 BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
 #: Distinct fingerprints of a bucket that one task compares as a block.
 BLOCK = 1024
+#: Buckets of more than three, counted, that may be broadcast to find their members: about 20 bytes each.
+BROADCAST_BUCKETS = 300_000
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -100,9 +102,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     """
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius))])
     keyed = distinct.select("fp", F.explode(tables).alias("k")).select("k.t", "k.key", "fp")
-    buckets = written(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-buckets")
-    pairs = buckets.where(f"n = 2 and bit_count(a ^ b) <= {radius}").select("a", "b")
-    members = keyed.join(buckets.where("n > 2").select("t", "key", "n"), ["t", "key"])
+    sums = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x"))
+    buckets = written(sums.where("n > 1"), "simhash-buckets")
+    # of three, the third is what the exclusive or leaves
+    few = buckets.where("n <= 3").select("n", "a", "b", F.expr("x ^ a ^ b").alias("c"))
+    near = lambda p, q: few.where(f"bit_count({p} ^ {q}) <= {radius}").select(F.col(p).alias("a"), F.col(q).alias("b"))
+    pairs = near("a", "b")
+    few = few.where("n = 3")
+    pairs = pairs.union(near("a", "c")).union(near("c", "b"))
+    large = buckets.where("n > 3").select("t", "key", "n")
+    members = keyed.join(F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large, ["t", "key"])
     if radius == 2:  # crowds of any size by half-radius balls
         crowd = members.where(F.col("n") > block).select("fp").distinct()
         members = members.where(F.col("n") <= block)
