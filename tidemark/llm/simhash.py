@@ -153,7 +153,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     joined = components(links(distinct.select("fp"), radius), "a", "b")
     of_fp = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    # in tables, so that both sides of a join are shuffled for it and Spark can split a component of very many texts
+    of_fp = written(of_fp, "simhash-roots")
+    roots = written(of_fp.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = written(of_fp.join(roots, "root").select("fp", "component_id"), "simhash-named")
     # hex of a signed long is that of its 64 bits
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
