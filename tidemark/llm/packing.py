@@ -219,7 +219,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_id
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids)
+    return map_arrow(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids, tokens=True)
 
 
 def places(solution: list[tuple[Filling, int]], capacity: int) -> tuple[np.ndarray, ...]:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tokens import forget
+
 #: Rows of a side that may be broadcast once they have been counted.
 BROADCAST_ROWS = 100_000
 #: Rows per bucket when rows are numbered without gaps.
@@ -72,10 +74,15 @@ def spread(df: DataFrame, least: int = 0) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of at most a few MB: f gets slices, however long the texts are."""
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, tokens: bool = False) -> DataFrame:
+    """mapInArrow with batches of at most a few MB: f gets slices, however long the texts are.
+
+    Workers are used again; unless f needs tokens, theirs are forgotten first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tokens:
+            forget()
         return f(x for b in batches for x in slices(b))
 
     return df.mapInArrow(run, schema)

@@ -113,7 +113,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_ids: in
         if docs_in:
             yield close()
 
-    files = map_arrow(ordered, encode, FILES)
+    files = map_arrow(ordered, encode, FILES, tokens=True)
     files.write.option("compression", "zstd").parquet(path)
 
 

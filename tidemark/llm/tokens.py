@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a worker's memory of words; it is emptied when full, so memory is bounded.
-WORDS = 600_000
+#: Entries of a worker's memory of words; when full, it is cut down to those of the texts at hand, so memory is bounded.
+WORDS = 500_000
 #: Bytes of text taken together.
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
@@ -64,8 +64,6 @@ class ChunkTokenizer:
 
     def _learn(self, new: list[str], whole: list[bool]) -> None:
         """Encodes new words, those in whole chunks by the complete tokenizer."""
-        if len(self.words) + len(new) > WORDS:
-            self.words = {}
         collecting = gc.isenabled()
         gc.disable()  # many small objects, none in a cycle
         plain = [w for w, x in zip(new, whole, strict=True) if not x]
@@ -128,11 +126,10 @@ class ChunkTokenizer:
         distinct = coded.dictionary.to_pylist()
         odd = np.zeros(len(distinct), bool)
         odd[which[whole]] = True
-        known = self.words
-        if new := [i for i, w in enumerate(distinct) if w not in known]:
+        if new := [i for i, w in enumerate(distinct) if w not in self.words]:
+            if len(self.words) + len(new) > WORDS:
+                self.words = {w: self.words[w] for w in distinct if w in self.words}
             self._learn([distinct[i] for i in new], odd[new].tolist())
-            if self.words is not known and (lost := [i for i, w in enumerate(distinct) if w not in self.words]):  # it was emptied on the way
-                self._learn([distinct[i] for i in lost], odd[lost].tolist())
         parts = list(map(self.words.__getitem__, distinct))
         size = np.array(list(map(len, parts)), np.int64) >> 2
         flat = np.frombuffer(b"".join(parts), "<u4")
@@ -160,6 +157,11 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+def forget() -> None:
+    """Gives the tokenizers' memory back, in a worker that goes on to other work."""
+    tokenizer.cache_clear()
+
+
 def vocabulary() -> str:
     """The word-level vocabulary on this machine."""
     import public_tokenizers
