@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, packing, simhash
+from tidemark.llm import langid, mixing, neartexts, packing
 from tidemark.llm.shared import small_or_shuffled, written
 from tidemark.llm.tokens import vocabulary
 
@@ -20,14 +20,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates over five-word shingles: that with the smallest doc_id.
+    """One document of each group of near copies, five-word shingles at Jaccard 0.8 or more: that with the smallest doc_id.
 
-    Five of 64 bits stand for a cosine of 0.97 and a Jaccard similarity of 0.94
-    in expectation, and are met by most pairs of 0.9.  Rows without a doc_id name
-    no group and stay; of rows with one doc_id and text one stays.
+    SimHash within five of 64 bits and min-wise bands give candidates, and exact
+    similarities decide.  Rows without a doc_id name no group and stay; of rows
+    with one doc_id and text one stays.
     """
-    groups = written(simhash.near_duplicates(docs, words=5, radius=5), "pipeline-groups")
-    drop = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-dropped")
+    groups = written(neartexts.groups(docs), "pipeline-groups")
+    drop = written(groups.where("doc_id <> kept_id").select("doc_id").distinct(), "pipeline-dropped")
     kept = docs.join(small_or_shuffled(drop, drop.count()), "doc_id", "left_anti").select(docs.columns)
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])) if repeated else kept

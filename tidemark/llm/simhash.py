@@ -44,19 +44,22 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; none for a text without words."""
     found = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     if len(found) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
-    else:
-        ends = np.cumsum([len(w) + 1 for w in found]) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        view, digest = memoryview(joined), xxhash.xxh64_intdigest
-        hashes = np.array([digest(view[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    view, digest = memoryview(joined), xxhash.xxh64_intdigest
+    return np.array([digest(view[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes; 0 if there are none."""
     count = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         some = hashes[i : i + (1 << 16)]
@@ -64,6 +67,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of docs (doc_id, text; other columns are ignored); fp is the fingerprint as a signed long."""
 
@@ -161,4 +169,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
-__all__ = ["balls", "fingerprint", "fingerprints", "links", "masks", "near_duplicates"]
+__all__ = ["balls", "fingerprint", "fingerprints", "links", "majority", "masks", "near_duplicates", "shingles"]
