@@ -23,14 +23,19 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, five-word shingles at Jaccard 0.8 or more: that with the smallest doc_id.
 
     SimHash within five of 64 bits and min-wise bands give candidates, and exact
-    similarities decide.  Rows without a doc_id name no group and stay; of rows
-    with one doc_id and text one stays.
+    similarities decide.  Exactly one row of each group stays, whether its
+    doc_id is null, or that of rows in other groups, or not.
     """
     groups = written(neartexts.groups(docs), "pipeline-groups")
-    drop = written(groups.where("doc_id <> kept_id").select("doc_id").distinct(), "pipeline-dropped")
-    kept = docs.join(small_or_shuffled(drop, drop.count()), "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])) if repeated else kept
+    other = ~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("digest").eqNullSafe(F.col("kept_digest")))
+    drop = groups.where(other).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    drop = written(drop, "pipeline-dropped")
+    rows = docs.withColumn("_text", neartexts.digest("text"))
+    gone = F.col("_text").eqNullSafe(F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    kept = rows.join(small_or_shuffled(drop, drop.count()), gone, "left_anti").select(docs.columns)
+    # rows of one doc_id and text share a key
+    repeated = groups.where(~other).groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,29 @@ def test_pairs_at_the_threshold_share_a_band():
         x = np.unique(rng.integers(0, 1 << 63, 99, np.uint64))
         missed += not (neartexts.band_keys(x[:90]) == neartexts.band_keys(x[9:])).any()  # 81 of 99: 0.82
     assert missed <= 3
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    random.seed(9)
+    one, two, three, four = ([f"w{random.getrandbits(40)}" for _ in range(100)] for _ in range(4))
+    near = lambda words: " ".join([*words[:-1], "end"])
+    rows = [
+        (1, " ".join(one)),
+        (5, near(one)),  # goes
+        (5, " ".join(two)),  # has no copy
+        (None, " ".join(three)),
+        (None, near(three)),
+        (None, " ".join(three)),
+        (None, near(two)),  # goes
+        (8, " ".join(four)),
+        (8, near(four)),
+        (8, near(four)),
+        (9, None),
+        (9, ""),
+        (None, "alone here"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in written(corpus_pipeline.deduplicate(spark, docs, SF), "test").collect()]
+    assert len(got) == 6 and {i for i, _ in got} == {1, 5, None, 8, 9}
+    assert {(1, rows[0][1]), (5, rows[2][1]), (None, "alone here")} <= set(got)
+    assert sum(i is None for i, _ in got) == 2

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -64,8 +64,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     return map_arrow(_keyed(docs).select("doc_id", "digest", "text"), run, "doc_id long, digest long, node long, fp long, bands array<long>")
 
 
+def digest(column: str) -> Column:
+    """What tells the texts of one doc_id apart; that of a null text is not that of an empty one."""
+    return F.when(F.col(column).isNotNull(), F.xxhash64(column))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"), "text")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -153,7 +158,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, kept_id, kept_digest) of every row of docs (doc_id, text; other columns are ignored).
 
-    digest is xxhash64 of the text.  kept_id and kept_digest are those of the row
+    digest is that of the text.  kept_id and kept_digest are those of the row
     that stands for the group: the smallest doc_id, a null one last, then the
     smallest digest.  Texts without words are one group.
     """
@@ -170,4 +175,4 @@ def groups(docs: DataFrame) -> DataFrame:
     return rows.select("node", "doc_id", "digest").join(named, "node").select("doc_id", "digest", "kept_id", "kept_digest")
 
 
-__all__ = ["band_keys", "forest", "groups"]
+__all__ = ["band_keys", "digest", "forest", "groups"]
