@@ -2,10 +2,13 @@
 
 The event stream is cut into lines at block elements.  A line's ratio is its
 characters over its tags (Weninger and Hsu 2008); a Gaussian smooths the ratios
-over neighbouring lines, and lines above the threshold form clusters.  The
-element that holds most clustered characters is the content region, and all its
-lines are the main text, short ones included; in a page without such an element
-the clusters are, with the plain lines between them.  Elements that are furniture
+over neighbouring lines, and lines above the threshold form clusters.  Elements
+named as content are regions, and what lies outside all of them is one more.  If a
+named region holds most clustered characters, all its lines are the main text,
+short ones included, and so are those of other named regions that are clustered
+for the larger part, and of regions nested in these; if what is unnamed holds
+most, the clusters are, with the plain lines between them and in named regions.
+Elements that are furniture
 by name, role, class or id (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) hold no lines.
 """
@@ -63,7 +66,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # tag, furniture, the region outside
         self.skip = 0
         self.region = 0
-        self.regions = 1
+        self.outside = [0]  # of each region, the one around it
         self.lines: list[tuple[str, int, int, int]] = []
         self.buffer: list[str] = []
         self.tags = self.link = self.linked = 0
@@ -119,8 +122,8 @@ class Lines(HTMLParser):
         self.skip += furniture
         if not self.skip and (tag in REGIONS or marked):
             if tag == "article" or not self.region:
-                self.region = self.regions
-                self.regions += 1
+                self.outside.append(self.region)
+                self.region = len(self.outside) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -171,13 +174,16 @@ def main_text(html: str | None) -> str:
         size = len(line[0]) - line[2]
         a, b = mass.get(line[3], (0, 0))
         mass[line[3]] = (a + size * high, b + size)
-    named = {r: m for r, m in mass.items() if r}
-    if named:
-        best = max(named, key=lambda r: (named[r], -r))
-        return " ".join(t for t, _, _, r in lines if r == best)
+    best = max(mass, key=lambda r: (mass[r][0], r > 0, mass[r][1], -r))
+    if best:
+        chosen = {r for r, (a, b) in mass.items() if r and 2 * a > b} | {best}
+        for r, outside in enumerate(parser.outside):  # those around come first
+            if outside in chosen:
+                chosen.add(r)
+        return " ".join(t for t, _, _, r in lines if r in chosen)
     kept = np.flatnonzero(inside)
     first, last = (int(kept[0]), int(kept[-1])) if len(kept) else (0, len(lines) - 1)
-    return " ".join(t for t, _, linked, _ in lines[first : last + 1] if 2 * linked <= len(t))
+    return " ".join(t for i, (t, _, linked, r) in enumerate(lines) if (r or first <= i <= last) and 2 * linked <= len(t))
 
 
 def extract(pages: DataFrame) -> DataFrame:
