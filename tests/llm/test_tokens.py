@@ -46,6 +46,28 @@ def test_elias_fano(values):
         s.select(len(values))
 
 
+@pytest.mark.parametrize("bits", [1, 20, 57, 59, 61, 62, 63, 64])
+def test_elias_fano_of_wide_values(bits):
+    r = random.Random(bits)
+    for n in [*range(2, 65), 300]:
+        values = sorted(r.getrandbits(bits) for _ in range(n))
+        s = elias_fano.Sequence(elias_fano.encode(np.array(values, np.uint64)))
+        assert s.all().tolist() == values and [s.select(i) for i in range(n)] == values
+        a, b = sorted(r.choices(range(n + 1), k=2))
+        assert s.range(a, b).tolist() == values[a:b]
+
+
+def test_files_of_wide_ids():
+    r = random.Random(9)
+    for n in range(2, 65):
+        ids = sorted(r.randrange(-(1 << 63), 1 << 63) for _ in range(n))
+        f = token_files.TokenFile(token_files.pack([None, *ids], np.ones(n + 1, np.int64), np.arange(n + 1, dtype="<u4")))
+        assert f.doc_ids() == [None, *ids] and f.doc_ids(1, 3) == ids[:2] and all(f.find(x) == i + 1 and f.ids(i + 1).tolist() == [i + 1] for i, x in enumerate(ids))
+        assert f.find(12345) is None
+    span = [-(1 << 63), 0, (1 << 63) - 1]
+    assert token_files.TokenFile(token_files.pack(span, np.ones(3, np.int64), np.arange(3, dtype="<u4"))).doc_ids() == span
+
+
 def test_elias_fano_is_small():
     v = np.cumsum(np.random.default_rng(1).integers(1, 2000, 100_000))
     assert len(elias_fano.encode(v)) < 100_000 * 14 / 8

@@ -32,8 +32,8 @@ from .tokens import tokenizer
 MAGIC, VERSION = b"TMEF", 1
 HEAD = struct.Struct("<4sHHQQQ")
 FILES = "part int, file int, ids long, payload binary"
-#: Ids after which a file is closed.
-FILE_IDS = 4_000_000
+#: Ids after which a file is closed; documents read at once.
+FILE_IDS, READ_DOCS = 4_000_000, 4096
 
 
 def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -49,7 +49,7 @@ def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes
 
 
 class TokenFile:
-    """Reads a file: document i's ids are ids(i), found by two selects."""
+    """Reads a file: document i's ids are ids(i), found by selects on the boundaries; find() searches doc_ids by select."""
 
     def __init__(self, raw: bytes):
         magic, version, width, self.n_docs, self.n_ids, self.n_null = HEAD.unpack_from(raw)
@@ -60,15 +60,33 @@ class TokenFile:
         self.gaps = elias_fano.Sequence(raw, self.bounds.end + 8)
         self.flat = np.frombuffer(raw, f"<u{width}", self.n_ids, self.gaps.end)
 
-    def doc_ids(self) -> list[int | None]:
-        known = (self.gaps.all() + np.uint64(self.least & (1 << 64) - 1)).astype(np.int64)
-        return [None] * self.n_null + known.tolist()
+    def doc_ids(self, first: int = 0, stop: int | None = None) -> list[int | None]:
+        """The doc_ids of documents first to stop, exclusive."""
+        stop = self.n_docs if stop is None else min(stop, self.n_docs)
+        gaps = self.gaps.range(max(0, first - self.n_null), max(0, stop - self.n_null))
+        known = (gaps + np.uint64(self.least & (1 << 64) - 1)).astype(np.int64)
+        return [None] * max(0, min(stop, self.n_null) - first) + known.tolist()
 
-    def starts(self) -> np.ndarray:
-        return self.bounds.all().astype(np.int64)
+    def starts(self, first: int = 0, stop: int | None = None) -> np.ndarray:
+        """Where documents first to stop begin, and where the last of them ends."""
+        stop = self.n_docs if stop is None else min(stop, self.n_docs)
+        return self.bounds.range(first, stop + 1).astype(np.int64)
 
     def ids(self, i: int) -> np.ndarray:
-        return self.flat[self.bounds.select(i) : self.bounds.select(i + 1)]
+        at = self.bounds.range(i, i + 2).astype(np.int64)
+        return self.flat[at[0] : at[1]]
+
+    def find(self, doc_id: int) -> int | None:
+        """The first document with a doc_id, by binary search with select; None if there is none."""
+        low, high = 0, len(self.gaps)
+        while low < high:
+            middle = (low + high) // 2
+            if self.gaps.select(middle) + self.least < doc_id:
+                low = middle + 1
+            else:
+                high = middle
+        found = low < len(self.gaps) and self.gaps.select(low) + self.least == doc_id
+        return self.n_null + low if found else None
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_ids: int = FILE_IDS) -> None:
@@ -125,15 +143,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for part, file, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 f = TokenFile(raw)
-                at = f.starts()
-                flat = f.flat.astype("<u4")
-                cuts = at.tolist()
-                crc = [zlib.crc32(flat[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                n = f.n_docs
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f.doc_ids(), pa.int64()), pa.array([part] * n, pa.int32()), pa.array([file] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int64)), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
-                    ["doc_id", "part", "file", "place", "local", "n_tokens", "ids_crc32"],
-                )
+                for i in range(0, f.n_docs, READ_DOCS):  # a select on the boundaries, then the documents that follow
+                    at = f.starts(i, i + READ_DOCS)
+                    ids = f.flat[at[0] : at[-1]].astype("<u4")
+                    cuts = (at - at[0]).tolist()
+                    crc = [zlib.crc32(ids[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                    n = len(crc)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(f.doc_ids(i, i + n), pa.int64()), pa.array([part] * n, pa.int32()), pa.array([file] * n, pa.int32()), pa.array(np.arange(i, i + n)), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
+                        ["doc_id", "part", "file", "place", "local", "n_tokens", "ids_crc32"],
+                    )
 
     # where a part begins: its files' ids, summed part by part; a window over parts, of which there are as many as partitions
     sized = files.select("part", "file", "ids")
