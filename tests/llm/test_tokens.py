@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from .conftest import TEXTS
 
 @pytest.fixture(scope="module")
 def tok():
-    return ChunkTokenizer(vocabulary())
+    return ChunkTokenizer(Path(vocabulary()).read_bytes())
 
 
 def test_ids_are_those_of_the_library(tok):
@@ -29,9 +30,19 @@ def test_ids_are_those_of_the_library(tok):
         assert got.ids == ids[at[i] : at[i + 1]].tolist(), ascii(texts[i])
 
 
+def test_other_vocabularies_go_through_the_library(tok):
+    import public_tokenizers
+
+    other = ChunkTokenizer(Path(public_tokenizers.path("byte_bpe_50k.json")).read_bytes())
+    texts = ["Two Words, 12 digits\n\n and   space", "", None, "don't"]
+    ids, n = other.encode(pa.array(texts))
+    assert tok.quick and not other.quick
+    assert ids.tolist() == [i for t in texts for i in other.whole.encode(t or "", add_special_tokens=False).ids] and n[1] == n[2] == 0
+
+
 def test_a_full_memory_changes_nothing(tok, monkeypatch):
     monkeypatch.setattr("tidemark.llm.tokens.WORDS", 5)
-    small = ChunkTokenizer(vocabulary())
+    small = ChunkTokenizer(Path(vocabulary()).read_bytes())
     texts = pa.array(["one two three four five six", "seven one two eight nine ten"])
     for _ in range(3):
         assert small.encode(texts)[0].tolist() == tok.encode(texts)[0].tolist()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .shared import map_arrow, small_or_shuffled, written
-from .tokens import tokenizer
+from .tokens import Shipped
 
 Filling = tuple[int, ...]
 #: Fillings tried for one sequence; steps looked at for one filling list; steps of a whole search, besides two for each length.
@@ -189,8 +189,10 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_id
     without a piece.  rank numbers the pieces of one length in one part.
     """
 
+    shipped = Shipped(docs.sparkSession, vocabulary)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part = tokenizer(vocabulary), TaskContext.get().partitionId()
+        tok, part = shipped.tokenizer(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             got, n = tok.encode(b.column(1))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import elias_fano
 from .shared import map_arrow, small_or_shuffled, spread
-from .tokens import tokenizer
+from .tokens import Shipped
 
 MAGIC, VERSION = b"TMEF", 1
 HEAD = struct.Struct("<4sHHQQQ")
@@ -99,8 +99,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_ids: in
     ordered = rows.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
+    shipped = Shipped(docs.sparkSession, vocabulary)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        tok = shipped.tokenizer()
         docs_in: list[int | None] = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []

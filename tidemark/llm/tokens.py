@@ -7,18 +7,20 @@ distinct words, each new word is encoded once per worker and remembered, and
 numpy gathers the ids: a text costs little more than its *new* words.  Chunks
 between white space that hold anything but ASCII and the letters of U+00C0 to
 U+00FF, an apostrophe or the start of a special token stay whole and go through
-the complete tokenizer.
+the complete tokenizer.  A vocabulary file with other rules of cutting is used
+through the library alone, text by text.
 """
 
 from __future__ import annotations
 
-import functools
 import gc
+import hashlib
 import json
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Entries of a worker's memory of words; when full, it is cut down to those of the texts at hand, so memory is bounded.
 WORDS = 500_000
@@ -26,6 +28,9 @@ WORDS = 500_000
 STEP = 2 << 20
 
 
+#: The rules that the quick way follows: texts are composed and lower-cased, words are what this pattern finds, spelled byte by byte.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
 
@@ -49,13 +54,26 @@ def _byte_table() -> dict[int, int]:
     return {b: b for b in keep} | {b: 256 + i for i, b in enumerate(rest)} | {32: 32}
 
 
+def _cuts_words(spec: dict) -> bool:
+    """Whether a vocabulary file has the rules of the quick way."""
+    try:
+        cut, spell = spec["pre_tokenizer"]["pretokenizers"]
+        known = cut["type"] == "Split" and cut["pattern"] == {"Regex": PATTERN} and cut["behavior"] == "Removed" and cut["invert"]
+        known = known and spell["type"] == "ByteLevel" and not spell["add_prefix_space"] and not spell["use_regex"]
+        return known and [n["type"] for n in spec["normalizer"]["normalizers"]] == NORMALIZERS and spec["post_processor"] is None
+    except (KeyError, TypeError, ValueError):
+        return False
+
+
 class ChunkTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        self.whole = Tokenizer.from_str(raw.decode())
+        spec = json.loads(raw)
+        self.quick = _cuts_words(spec)
+        if not self.quick:
+            return
         self.special = tuple(t["content"] for t in spec["added_tokens"])
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(spec))
@@ -114,6 +132,9 @@ class ChunkTokenizer:
         return words, kept[at], np.diff(np.append(np.searchsorted(at, starts), len(at)))
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.quick:
+            found = [np.array(x.ids, "<u4") for x in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
         offsets = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1]
         if offsets[-1] == offsets[0]:
             return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
@@ -151,19 +172,32 @@ class ChunkTokenizer:
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
-@functools.lru_cache(maxsize=4)
-def tokenizer(path: str) -> ChunkTokenizer:
-    """The worker's tokenizer for a vocabulary file."""
-    return ChunkTokenizer(path)
+_tokenizers: dict[str, ChunkTokenizer] = {}
+
+
+class Shipped:
+    """A vocabulary file's bytes, read once on the driver and sent to every executor (they are of a fixed size)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        with open(path, "rb") as f:
+            raw = f.read()
+        self.digest = hashlib.sha256(raw).hexdigest()
+        self.sent = spark.sparkContext.broadcast(raw)
+
+    def tokenizer(self) -> ChunkTokenizer:
+        """The worker's tokenizer."""
+        if self.digest not in _tokenizers:
+            _tokenizers[self.digest] = ChunkTokenizer(self.sent.value)
+        return _tokenizers[self.digest]
 
 
 def forget() -> None:
     """Gives the tokenizers' memory back, in a worker that goes on to other work."""
-    tokenizer.cache_clear()
+    _tokenizers.clear()
 
 
 def vocabulary() -> str:
-    """The word-level vocabulary on this machine."""
+    """The path of the word-level vocabulary on the driver's machine."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
