@@ -149,13 +149,32 @@ def _best(sizes, capacity):
     return best
 
 
-def test_packing_is_as_tight_as_exhaustive_search():
+@pytest.mark.parametrize("steps", [None, packing.STEPS])
+def test_packing_is_as_tight_as_exhaustive_search(steps):
     random.seed(2)
-    for _ in range(60):
-        sizes = [random.randint(1, 30) for _ in range(random.randint(1, 9))]
-        hist = {x: sizes.count(x) for x in sizes}
-        got = packing.solve(hist, 30)
-        assert _fits(got, hist, 30) and sum(n for _, n in got) == _best(sizes, 30)
+    missed = 0
+    for low, times in ((1, 100), (4, 500)):
+        for _ in range(times):
+            sizes = [random.randint(low, 30 if low == 1 else 16) for _ in range(random.randint(1, 10))]
+            hist = {x: sizes.count(x) for x in sizes}
+            got, best = packing.solve(hist, 30, steps=steps), _best(sizes, 30)
+            assert _fits(got, hist, 30) and sum(n for _, n in got) == best
+            missed += sum(n for _, n in packing.best_fit(hist, 30)) > best
+    assert missed > 3  # the search finds what best fit does not
+
+
+def test_dominated_fillings():
+    free = lambda *xs: sum(1 << x for x in xs)
+    assert packing._dominated((5, 3), 2, free(10)) and packing._dominated((5, 3), 0, free(8)) and packing._dominated((5, 3), 1, free(4))
+    assert packing._dominated((5, 3), 2, free(2)) and not packing._dominated((5, 3), 1, free(2, 3, 5, 10)) and not packing._dominated((5,), 0, free(5, 6))
+    assert packing._dominated((2,) * 7, 0, free(14)) and not packing._dominated((2,) * 7, 0, free(13, 15))
+
+
+def test_many_short_pieces_need_few_nodes():
+    hist = {1: 5000, 2: 5000, 260: 9, 255: 3}
+    got = packing.solve(hist, 512, nodes=3, branch=1)
+    assert _fits(got, hist, 512)
+    assert packing._fillings([0, 900], 800, 0, 2, 5) == [(1,) * 800]
 
 
 def test_packing_reaches_the_waste_bound_and_ends_on_hard_lengths():

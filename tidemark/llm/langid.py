@@ -29,8 +29,8 @@ from .shared import map_arrow
 
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 16, 128
 STRIDE = LENGTH - max(WIDTHS) + 1
-#: The sample: documents of each language at most, and windows of each document.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 600, 4
+#: The sample: documents of each language at most, documents of all languages (but for one of each), and windows of each document.
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_WINDOWS = 600, 60_000, 4
 EPOCHS, BATCH, RATE = 14, 256, 0.01
 
 
@@ -142,21 +142,25 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of a bounded sample of labelled texts: at most about SAMPLE_DOCS of each language, chosen by a hash of doc_id.
+    """Windows of a bounded sample of labelled texts, chosen by a hash of doc_id and text.
 
-    Rows with a null lang or text, or held out, are never in it.  Windows are
-    spread over each whole text.
+    About SAMPLE_DOCS of each language, fewer if all would be more than
+    SAMPLE_ALL; every language that labels name is in it.  Rows with a null lang
+    or text, or held out, are never in it.  Windows are spread over each whole
+    text.
     """
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc % 4 != 2))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    known = known.withColumn("u", F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    # a row per language, each an output of the network
+    counts = {r.lang: (r.n, r.u) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u")).collect()}
     if not counts:
         return np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), []
     languages = sorted(counts)
-    spark = docs.sparkSession
-    shares = spark.createDataFrame([(x, min(1.0, SAMPLE_DOCS / counts[x])) for x in languages], "lang string, share double")
-    u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.join(F.broadcast(shares), "lang").where(u < F.col("share"))  # one row per language, 1,000 at most
+    spark, most = docs.sparkSession, max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(languages)))
+    shares = spark.createDataFrame([(x, max(u, most / n)) for x, (n, u) in counts.items()], "lang string, share double")
+    # one row per language; rows repeated with their doc_id count once
+    chosen = known.join(F.broadcast(shares), "lang").where(F.col("u") <= F.col("share")).dropDuplicates(["lang", "doc_id", "u"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,8 +257,14 @@ def languages(docs: DataFrame) -> DataFrame:
     return identify(rows, net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def least_score(net: Network, sure: float) -> float:
+    """The score that lies a share `sure` of the way from chance, one of as many languages as there are, to certainty."""
+    chance = 1 / len(net.languages)
+    return chance + sure * (1 - chance)
+
+
 def describe(net: Network) -> str:
     return json.dumps({"languages": net.languages, "classes": K, "filters": FILTERS, "widths": WIDTHS, "window": LENGTH})
 
 
-__all__ = ["Network", "fit", "held_out", "identify", "judged", "languages", "predict_texts", "sample", "train", "windows_of"]
+__all__ = ["Network", "fit", "held_out", "identify", "judged", "languages", "least_score", "predict_texts", "sample", "train", "windows_of"]

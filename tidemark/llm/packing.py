@@ -9,11 +9,13 @@ Bin completion (Korf 2003): the largest remaining length opens a sequence and th
 undominated fillings of the rest are enumerated, fullest first; a branch ends when
 the waste so far exceeds what the number of sequences sought allows.  Best-fit
 decreasing gives the first incumbent, and the waste bound (all tokens over the
-capacity) ends the search early.
+capacity) ends the search early.  The search has budgets, which are parameters;
+without them it is exhaustive, and its result the least number of sequences.
 """
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,8 +30,8 @@ from .shared import map_arrow, small_or_shuffled, written
 from .tokens import Shipped
 
 Filling = tuple[int, ...]
-#: Fillings tried for one sequence; steps looked at for one filling list; steps of a whole search, besides two for each length.
-BRANCH, NODES, STEPS = 4, 80, 2_000
+#: Budgets: fillings tried for one sequence; nodes looked at for one list of fillings; choices of a whole search, besides two for each length.
+BRANCH, NODES, STEPS = 6, 400, 60_000
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -59,94 +61,132 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     return [x for some in open_.values() for x in some]
 
 
-def _fillings(counts: np.ndarray, room: int) -> list[Filling]:
-    """Undominated fillings of a room, fullest first, at most BRANCH of them."""
-    sizes = np.flatnonzero(counts[: room + 1])[::-1]
-    mass = np.cumsum((np.arange(len(counts)) * counts)[: room + 1])
-    found: dict[Filling, int] = {}
-    best, nodes = room + 1, 0
+def _spread(bits: int, reach: int) -> int:
+    """Every set bit also set in the `reach` places above it."""
+    done = 0
+    while done < reach:
+        step = min(done + 1, reach - done)
+        bits |= bits << step
+        done += step
+    return bits
 
-    def note(chosen: Filling, waste: int) -> None:
-        nonlocal best
-        if not _dominated(chosen, waste, counts):
-            found[tuple(sorted(chosen, reverse=True))] = waste
-            best = min(best, waste)
-
-    def go(rest: int, top: int, chosen: Filling) -> None:
-        """Adds lengths of at most top to what is chosen."""
-        nonlocal nodes
-        nodes += 1
-        used = Counter(chosen)
-        free = lambda x: counts[x] - used[x]
-        if rest == 0:
-            return note(chosen, 0)
-        if rest <= top and free(rest) > 0:
-            note((*chosen, rest), 0)
-        some = sizes[(sizes <= min(rest, top))]
-        if not len(some):
-            return note(chosen, rest)
-        # the largest pairs that fill the rest exactly
-        twins = some[(some >= rest - some) & (some < rest)]
-        for x in twins[counts[rest - twins] > 0][:2].tolist():
-            pair = Counter((x, rest - x))
-            if all(free(y) >= n for y, n in pair.items()):
-                note((*chosen, x, rest - x), 0)
-        any_ = False
-        for x in some.tolist():
-            if nodes > NODES or sum(w == 0 for w in found.values()) >= BRANCH or rest - mass[x] > best:
-                break
-            if free(x) > 0:
-                any_ = True
-                go(rest - x, x, (*chosen, x))
-        if not any_:
-            note(chosen, rest)
 
-    go(room, room, ())
-    if not found:
-        found[()] = room
-    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0]), [-s for s in x[0]]))[:BRANCH]]
+def _dominated(chosen: Filling, waste: int, free: int) -> bool:
+    """Whether one free length could stand for some of those chosen, being as long as their sum or longer, within the waste.
 
+    free: a bit for each length of which a piece is left.
+    """
+    one, more = 0, 0  # sums of one length, and of several
+    for x in chosen:
+        more |= (one | more) << x
+        one |= 1 << x
+    better = _spread(more, waste)
+    if waste:  # a single length, or none, gives way only to a longer one
+        better |= _spread((one | 1) << 1, waste - 1)
+    return bool(better & free)
+
+
+def _fillings(counts: list[int], room: int, most: int, branch: int | None, nodes: int | None) -> list[Filling]:
+    """Undominated fillings of a room that waste at most `most`, fullest first; all of them without budgets."""
+    sizes = [x for x in range(1, min(room, len(counts) - 1) + 1) if counts[x]]
+    mass, total = [0] * (room + 1), 0
+    for x in range(1, room + 1):
+        total += x * counts[x] if x < len(counts) else 0
+        mass[x] = total
+    all_ = sum(1 << x for x in range(1, len(counts)) if counts[x])
+    mirror = sum(1 << room - x for x in sizes)
+    used: Counter[int] = Counter()
+    found: dict[Filling, int] = {}
+    seen = exact = 0
 
-def _dominated(chosen: Filling, waste: int, counts: np.ndarray) -> bool:
-    """Whether a free larger length could stand for one or two of those chosen within the waste."""
-    used = Counter(chosen)
-    for x in used:
-        if waste and any(counts[y] > used[y] for y in (np.flatnonzero(counts[x + 1 : x + waste + 1]) + x + 1).tolist()):
+    def note(chosen: Filling, waste: int) -> None:
+        nonlocal exact
+        if waste <= most and chosen not in found:
+            free = all_
+            for x, n in Counter(chosen).items():
+                if counts[x] <= n:
+                    free ^= 1 << x
+            if not _dominated(chosen, waste, free):
+                found[chosen] = waste
+                exact += not waste
+
+    def go(rest: int, top: int, chosen: Filling, free: int) -> None:
+        """Adds lengths of at most top to what is chosen, in descending order."""
+        nonlocal seen
+        seen += 1
+        fit = free & ((2 << min(rest, top)) - 1)
+        if not fit:
+            note(chosen, rest)
+            return
+        if nodes is not None:  # the fullest first: what one or two lengths fill exactly
+            if fit >> rest & 1:
+                note((*chosen, rest), 0)
+            pair = fit & (mirror >> (room - rest))
+            x = pair.bit_length() - 1
+            if pair and counts[x] > used[x] and counts[rest - x] > used[rest - x] + (2 * x == rest):
+                note((*chosen, *sorted((x, rest - x), reverse=True)), 0)
+        while fit:
+            x = fit.bit_length() - 1
+            if rest - mass[x] > most or nodes is not None and seen > nodes or branch is not None and exact >= branch:
+                return
+            fit ^= 1 << x
+            used[x] += 1
+            go(rest - x, x, (*chosen, x), free if used[x] < counts[x] else free ^ (1 << x))
+            used[x] -= 1
+
+    go(room, room, (), all_)
+    if not found and nodes is not None:  # too many short lengths for so few nodes
+        rest, filling = room, ()
+        for x in reversed(sizes):
+            n = min(counts[x], rest // x)
+            rest, filling = rest - n * x, filling + (x,) * n
+        if rest <= most:
+            found[filling] = rest
+    return sorted(found, key=lambda f: (found[f], len(f), [-x for x in f]))[:branch]
+
+
+class _Budget:
+    """Counts choices; a search without one goes on until it is done."""
+
+    def __init__(self, steps: int | None):
+        self.steps = steps
+
+    def spend(self) -> bool:
+        if self.steps is None:
             return True
-    two = list(used.elements())[:6]
-    for i, x in enumerate(two):
-        for y in two[i + 1 :]:
-            if any(counts[z] > used[z] for z in (np.flatnonzero(counts[x + y : x + y + waste + 1]) + x + y).tolist()):
-                return True
-    return False
+        self.steps -= 1
+        return self.steps >= 0
+
 
+def _complete(hist: dict[int, int], capacity: int, waste: int, branch: int | None, nodes: int | None, budget: _Budget) -> list[tuple[Filling, int]] | None:
+    """Fillings that use every piece and waste at most so many tokens, or None if the search finds none.
 
-def _complete(hist: dict[int, int], capacity: int, waste: int) -> list[tuple[Filling, int]] | None:
-    """Fillings that use every piece and waste at most so many tokens, or None if the search finds none."""
-    counts = np.zeros(capacity + 1, np.int64)
+    With a budget, a filling is used as often as there are pieces for it; without
+    one, for one sequence at a time, so that nothing is left untried.
+    """
+    counts = [0] * (capacity + 1)
     for size, n in hist.items():
         counts[size] = n
     done: list[tuple[Filling, int]] = []
     options: list[list[Filling]] = []  # those not yet tried, of each open choice
-    spent, steps = 0, 0
+    spent = 0
     while True:
-        left = np.flatnonzero(counts)
-        if not len(left):
+        top = next((x for x in range(capacity, 0, -1) if counts[x]), 0)
+        if not top:
             return done
-        top = int(left[-1])
         counts[top] -= 1
-        choice = [(top, *f) for f in _fillings(counts, capacity - top)]
+        # one more filling that wastes all may be the last
+        choice = [(top, *f) for f in _fillings(counts, capacity - top, waste - spent, branch, nodes)]
         counts[top] += 1
         options.append(choice)
         while True:
-            steps += 1
-            if steps > STEPS + 2 * len(hist) or not options:
+            if not options or not budget.spend():
                 return None
             if options[-1]:
                 filling = options[-1].pop(0)
                 need = Counter(filling)
-                times = int(min(counts[x] // n for x, n in need.items()))
                 loss = capacity - sum(filling)
+                times = int(min(counts[x] // n for x, n in need.items())) if budget.steps is not None else 1
                 if loss:
                     times = min(times, (waste - spent) // loss)
                 if times:
@@ -164,21 +204,33 @@ def _complete(hist: dict[int, int], capacity: int, waste: int) -> list[tuple[Fil
                         counts[x] += n * times
 
 
-def solve(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Fillings and how often each is used, in as few sequences as the search finds."""
+def solve(hist: dict[int, int], capacity: int, branch: int | None = BRANCH, nodes: int | None = NODES, steps: int | None = STEPS) -> list[tuple[Filling, int]]:
+    """Fillings and how often each is used, in as few sequences as the search finds.
+
+    With steps None the search is exhaustive whatever branch and nodes are, and
+    the number of sequences the least there is; that takes time that grows
+    exponentially with the number of sequences, where best fit misses the bound.
+    """
     hist = {int(k): int(n) for k, n in hist.items() if n}
     total = sum(k * n for k, n in hist.items())
     incumbent = best_fit(hist, capacity)
     bins = sum(n for _, n in incumbent)
     bound = max(-(-total // capacity), sum(n for k, n in hist.items() if 2 * k > capacity))
-    for target in range(bound, min(bins, bound + 3)):
-        better = _complete(hist, capacity, target * capacity - total)
+    budget = _Budget(None if steps is None else steps + 2 * len(hist))
+    if steps is None:
+        branch = nodes = None
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), capacity + 1000))  # a call for each length of a filling
+    # numbers of sequences to seek: each one, from the bound, or with ever longer strides while the budget lasts, and then between
+    low, stride = bound, 0
+    while low < bins:
+        target = min(low + stride, bins - 1)
+        better = _complete(hist, capacity, target * capacity - total, branch, nodes, budget)
         if better is not None:
-            return better
-    if bound + 3 < bins:
-        loose = _complete(hist, capacity, bins * capacity - total)
-        if loose is not None and sum(n for _, n in loose) < bins:
-            return loose
+            incumbent, bins, stride = better, sum(n for _, n in better), 0
+            continue
+        if budget.steps is not None and budget.steps < 0:
+            break
+        low, stride = target + 1, 0 if steps is None else 2 * stride + 1
     return incumbent
 
 
@@ -239,16 +291,16 @@ def places(solution: list[tuple[Filling, int]], capacity: int) -> tuple[np.ndarr
     return tuple(table[:, i].copy() for i in range(4))
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool = False, branch: int | None = BRANCH, nodes: int | None = NODES, steps: int | None = STEPS) -> DataFrame:
     """The pieces of docs with sequence_id and offset; sequences hold at most capacity tokens, without gaps.
 
     Rows with equal doc_id are documents of their own.  An empty table has no
-    pieces.
+    pieces.  branch, nodes and steps: see solve.
     """
     cut = written(pieces(docs, vocabulary, end_id, capacity, with_ids), "pieces")
     by_part = written(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-lengths")
     hist = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    size, first, sequence, offset = places(solve(hist, capacity), capacity)
+    size, first, sequence, offset = places(solve(hist, capacity, branch, nodes, steps), capacity)
     base = by_part.select("part", "length", F.expr("sum(n) over (partition by length order by part) - n").alias("base"))
     ranked = cut.join(small_or_shuffled(base, by_part.count()), ["part", "length"])
     # the slots of one length are together, ordered by first: keys of one search
