@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import fuzzyhash, html_text, langid, mixing, sharding
 
@@ -159,9 +161,37 @@ def test_two_way_differencing():
     assert sorted(sums) == [14, 16]
 
 
-@pytest.mark.parametrize("block", [2, 50_000])
-def test_shard(odd, none, block):
-    got = sharding.shard(odd, 4, block).collect()
+def _differenced(sizes, k):
+    """Karmarkar-Karp with plain lists: partial partitions as (sum, members) pairs."""
+    parts = [[(0, []) for _ in range(k - 1)] + [(int(x), [i])] for i, x in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(((x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b), strict=True)), key=lambda t: t[0]))
+    return sorted(sorted(m) for _, m in parts[0])
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_differencing_against_plain_lists(k):
+    rng = np.random.default_rng(k)
+    for _ in range(40):
+        sizes = rng.choice(1 << 40, rng.integers(1, 30), replace=False)  # spreads do not tie
+        label = sharding.difference_items(sizes, k)
+        sums = sorted(np.bincount(label, sizes, k).tolist())
+        assert sums == sorted(float(sum(int(sizes[i]) for i in m)) for m in _differenced(sizes, k))
+
+
+def test_differencing_comes_near_the_best_assignment():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sizes = rng.integers(1, 100, rng.integers(4, 9))
+        best = min(max(np.bincount(list(x), sizes, 3)) for x in itertools.product(range(3), repeat=len(sizes)))
+        assert max(np.bincount(sharding.difference_items(sizes, 3), sizes, 3)) <= 4 / 3 * best
+
+
+@pytest.mark.parametrize(("block", "fan"), [(2, 2), (3, 1000), (50_000, 2048)])
+def test_shard(odd, none, block, fan):
+    got = sharding.shard(odd, 4, block, fan).collect()
     of = {}
     for i, t, *_ in TEXTS:
         of.setdefault(i, []).append(t or "")
@@ -176,6 +206,32 @@ def test_shard(odd, none, block):
     assert sharding.shard(none).count() == 0
 
 
+def test_a_tree_of_blocks_is_balanced_and_holds_all(spark):
+    rng = np.random.default_rng(1)
+    texts = ["x" * int(n) for n in rng.integers(1, 3000, 700)] + [None] * 300
+    docs = spark.createDataFrame([(i if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = sharding.shard(docs, 8, 20, 3).collect()
+    assert sorted(r.size for r in got) == sorted(len(t or "") + 1 for t in texts)
+    sums = [sum(r.size for r in got if r.shard == k) for k in range(8)]
+    assert max(sums) - min(sums) <= 300
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_sums_before(spark):
+    from tidemark.llm import shared
+
+    rows = [(i * 37 % 101, None if i == 5 else f"s{i:03d}") for i in range(101)]
+    shared_rows = shared.BUCKET_ROWS
+    shared.BUCKET_ROWS = 10
+    try:
+        got = shared.sums_before(spark.createDataFrame(rows, "x long, name string"), [F.col("name").asc_nulls_last()], {"i": F.lit(1), "s": F.col("x")}, 101, "test").collect()
+    finally:
+        shared.BUCKET_ROWS = shared_rows
+    line = sorted(rows, key=lambda r: (r[1] is None, r[1] or ""))
+    assert sorted((r.x, r.i, r.s) for r in got) == sorted((x, i, sum(y for y, _ in line[:i])) for i, (x, _) in enumerate(line))
+
+
 # fuzzy hashes
 
 

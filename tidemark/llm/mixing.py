@@ -4,8 +4,12 @@ Word counts per source give targets: sources share a total by weight, none above
 a multiple of its own size, the excess shared again by weight.  A source's
 repetition rate is its target over its size.  A document is emitted floor(rate)
 times, and once more with a probability of the fraction, decided by a hash of its
-doc_id.  DRAWS independent hashes are evaluated in the same aggregation and each
-source uses the draw whose words come nearest to its target.
+doc_id: a Bernoulli copy.  Its seed is one of DRAWS, evaluated in one aggregation,
+of which each source uses that whose words come nearest to its target; so a
+source's copies are the best of DRAWS such draws and not the first one.
+
+Sources are ranked and their caps added up in ranges of the order, so that no
+task sees all of them, however many there are.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_or_shuffled, written
+from .shared import small_or_shuffled, sums_before, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Draws per hash, and hashes.
@@ -27,21 +31,22 @@ def words(text: Column) -> Column:
 
 
 def targets(by_source: DataFrame, share: float, weights: tuple[int, ...], most: float) -> DataFrame:
-    """(source, source_size, target) of (source, source_size), one row per source.
+    """(source, source_size, target) of (source, source_size), a table with one row per source.
 
     Sources by code point, null last, get the weights in turn.  With caps c and
     weights w, the targets least(c, level * w) share the total when the level is
     that of the first source, in order of c / w, which it leaves under its cap.
     """
-    ranked = by_source.selectExpr("source", "source_size", "row_number() over (order by source is null, source) - 1 as i")
+    n = by_source.count()
+    ranked = sums_before(by_source, [F.col("source").asc_nulls_last()], {"i": F.lit(1)}, n, "mix-ranks")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
-    capped = ranked.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    levels = capped.selectExpr(
-        "*",
-        f"({share!r}D * sum(source_size) over () - (sum(cap) over (order by cap / w, i) - cap)) / (sum(w) over () - (sum(w) over (order by cap / w, i) - w)) as level",
-    )
-    found = levels.selectExpr("*", "min(if(level <= cap / w, named_struct('r', cap / w, 'i', i, 'level', level), null)) over () as chosen")
-    return found.selectExpr("source", "source_size", "least(cap, coalesce(chosen.level * w, cap)) as target")
+    capped = ranked.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("w"))
+    filled = sums_before(capped, [F.col("ratio"), F.col("i")], {"caps": F.col("cap"), "ws": F.col("w")}, n, "mix-levels")
+    whole = capped.agg(F.sum("source_size").alias("all_sizes"), F.sum("w").alias("all_ws"))  # one row
+    level = (F.lit(float(share)) * F.col("all_sizes") - F.col("caps")) / (F.col("all_ws") - F.col("ws"))
+    levels = filled.crossJoin(F.broadcast(whole)).withColumn("level", level)
+    chosen = levels.where("level <= ratio").agg(F.min_by("level", F.struct("ratio", "i")).alias("chosen"))  # one row
+    return capped.crossJoin(F.broadcast(chosen)).select("source", "source_size", F.least("cap", F.coalesce(F.col("chosen") * F.col("w"), F.col("cap"))).alias("target"))
 
 
 def draws(doc_id: Column, seed: int) -> list[Column]:
@@ -60,7 +65,7 @@ def _copies(u: Column) -> Column:
 def plan(docs: DataFrame, share: float, weights: tuple[int, ...], most: float, seed: int) -> tuple[DataFrame, DataFrame, int]:
     """The sizes of docs, in a table (doc_id, source, size), the sources' plan, in one, and the number of sources."""
     sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")), "mix-sizes")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     aims = targets(by_source, share, weights, most).withColumn("rate", rate)
     aims = aims.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.floor("rate"))

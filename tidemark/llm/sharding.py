@@ -3,9 +3,9 @@
 Differencing keeps partial partitions, each a tuple of sums, and combines again
 and again the two of largest spread, oppositely ordered: the largest sum of one
 with the smallest of the other.  Since partial partitions combine like single
-items, tasks first difference the groups that they hold, block by block, and the
-blocks' tuples, one per BLOCK groups, are differenced in the same way to order
-the labels of each block.
+items, tasks first difference the groups that they hold, block by block; the
+blocks' tuples are differenced in the same way, FAN at a time, and so on up a
+tree until one is left.  Down the tree, each block's parts get their shards.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.taskcontext import TaskContext
 
 from .shared import map_arrow, numbered, small_or_shuffled, written
 
-#: Groups that a task differences together.
-BLOCK = 50_000
+#: Groups that a task differences together, and blocks' tuples.
+BLOCK, FAN = 50_000, 2_048
 
 
 def difference(sums: np.ndarray) -> np.ndarray:
@@ -64,7 +64,58 @@ def difference_items(sizes: np.ndarray, shards: int) -> np.ndarray:
     return difference(sums)[:, 0]
 
 
-def shard(docs: DataFrame, shards: int = 16, block: int = BLOCK) -> DataFrame:
+def total(sums: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The sums of the shards that partial partitions make when their parts go to these labels."""
+    out = np.zeros(sums.shape[1], np.int64)
+    np.add.at(out, labels.ravel(), sums.ravel())
+    return out
+
+
+def _combined(nodes: DataFrame, fan: int) -> DataFrame:
+    """(node, parent, labels, sums) of partial partitions (node, sums), differenced about `fan` at a time.
+
+    labels are where a node's parts go in its parent; a parent has a row of its
+    own, with its sums and without labels.
+    """
+    parts = max(1, -(-nodes.count() // fan))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        all_ = pa.Table.from_batches(held).sort_by("node").combine_chunks()
+        node = all_.column("node").to_numpy()
+        sums = np.array(all_.column("sums").to_pylist(), np.int64)
+        labels = difference(sums)
+        rows = [(int(x), int(node[0]), a, None) for x, a in zip(node, labels.tolist(), strict=True)]
+        rows.append((int(node[0]), None, None, total(sums, labels).tolist()))
+        columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["node", "parent", "labels", "sums"])
+
+    dealt = nodes.select("node", "sums").repartition(parts, "node")
+    return written(dealt.mapInArrow(run, "node long, parent long, labels array<int>, sums array<long>"), "shard-level")
+
+
+def _shards_of(nodes: DataFrame, shards: int, fan: int) -> DataFrame:
+    """(node, names): the shard of each part of each node, by differencing in a tree."""
+    levels = []
+    while True:
+        level = _combined(nodes, fan)
+        levels.append(level.where("parent is not null").select("node", "parent", "labels"))
+        nodes = level.where("parent is null").select("node", "sums")
+        left = nodes.count()
+        if left <= 1:
+            break
+    names = nodes.select("node", F.sequence(F.lit(0), F.lit(shards - 1)).alias("names"))
+    for level in reversed(levels):
+        above = names.select(F.col("node").alias("parent"), "names")
+        down = level.join(small_or_shuffled(above, left), "parent")
+        names = written(down.select("node", F.expr("transform(labels, x -> element_at(names, x + 1))").alias("names")), "shard-names")
+        left = names.count()
+    return names
+
+
+def shard(docs: DataFrame, shards: int = 16, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of docs (doc_id, text; others are ignored).
 
     Law `bytes`: sizes (UTF-8 bytes plus 1) are near equal.  A null text is an
@@ -99,19 +150,19 @@ def shard(docs: DataFrame, shards: int = 16, block: int = BLOCK) -> DataFrame:
             yield close()
 
     labelled = written(map_arrow(groups, label, "digest binary, bytes long, block long, label int"), "shard-groups")
-    sums = labelled.groupBy("block", "label").agg(F.sum("bytes").alias("bytes")).orderBy("block", "label").collect()  # shards rows per block of groups
-    blocks = sorted({r.block for r in sums})
-    at = {b: i for i, b in enumerate(blocks)}
-    table = np.zeros((len(blocks), shards), np.int64)
-    for r in sums:
-        table[at[r.block], r.label] = r.bytes
-    final = difference(table)
-    spark = docs.sparkSession
-    names = spark.createDataFrame([(b, j, int(final[i, j])) for b, i in at.items() for j in range(shards)], "block long, label int, shard int")
-    of_group = written(labelled.join(small_or_shuffled(names, len(blocks) * shards), ["block", "label"]).select("digest", "shard"), "shard-of-group")
-    placed = written(rows.join(of_group, "digest").select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
-    out = numbered(placed, ["shard"], ["doc_id", "size", "text_crc32"], F.col("doc_id"), placed.count(), "slot")
+    sums = labelled.groupBy("block", "label").agg(F.sum("bytes").alias("bytes"))
+    parts = F.map_from_entries(F.collect_list(F.struct("label", "bytes")))  # one entry for each shard at most
+    nodes = sums.groupBy(F.col("block").alias("node")).agg(parts.alias("m"))
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    nodes = written(nodes.select("node", F.transform(every, lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("sums")), "shard-blocks")
+    names = _shards_of(nodes, shards, fan).withColumnRenamed("node", "block")
+    of_group = labelled.join(small_or_shuffled(names, names.count()), "block").select("digest", F.expr("element_at(names, label + 1)").alias("shard"))
+    of_group = written(of_group, "shard-of-group")
+    # rows without a doc_id are dealt to the buckets of the numbering by chance, fixed in a table
+    salt = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.rand(7))).alias("salt")
+    placed = written(rows.join(of_group, "digest").select("doc_id", "size", "text_crc32", "shard", salt), "shard-placed")
+    out = numbered(placed, ["shard"], ["doc_id", "size", "text_crc32"], F.col("salt"), placed.count(), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-__all__ = ["difference", "difference_items", "shard"]
+__all__ = ["difference", "difference_items", "shard", "total"]

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,6 +119,22 @@ def numbered(df: DataFrame, group: list[str], order: list[str], salt: Column, ro
     return joined.withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_bucket", "_base", "_at")
 
 
+def sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: int, name: str) -> DataFrame:
+    """df with, for each of sums, its total over the rows that come before in a total order; df has about `rows` rows.
+
+    Rows are dealt to ranges of the order, about BUCKET_ROWS each, in a table; a
+    window adds up inside a range, and one over ranges gives what lies before it.
+    """
+    parts = max(1, -(-rows // BUCKET_ROWS))
+    put = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), name)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = put.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    base = base.select("_range", *[F.coalesce(F.sum(f"_{k}").over(across), F.lit(0)).alias(f"_{k}") for k in sums])  # a row per range
+    within = put.withColumns({k: F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()})
+    return within.join(small_or_shuffled(base, parts), "_range").withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_range", *[f"_{k}" for k in sums])
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected edges of longs: (node, component), the component named by its smallest node.
 
@@ -152,4 +168,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-__all__ = ["BROADCAST_ROWS", "components", "drop_written", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "written"]
+__all__ = ["BROADCAST_ROWS", "components", "drop_written", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "sums_before", "written"]
