@@ -144,7 +144,33 @@ def test_crowded_cells_are_compared_in_blocks(spark, monkeypatch):
     assert {r.n_links for r in got} == {99} and {r.component_id for r in got} == {0}
 
 
-def test_collision_counts():
-    rng = np.random.default_rng(3)
-    a, b = rng.standard_normal((30, 16)), rng.standard_normal((50, 16))
-    assert (vectors.collisions(a, b, 0.5) == (np.abs(a[:, None] - b[None]) <= 0.5).sum(2)).all()
+@pytest.mark.parametrize("n", [1, 50, 64, 200])
+def test_collision_counts(n):
+    rng = np.random.default_rng(n)
+    a, b = rng.integers(-60, 60, (30, 32)).astype(np.int16), rng.integers(-60, 60, (n, 32)).astype(np.int16)
+    counts = (np.abs(a[:, None].astype(int) - b[None]) <= 20).sum(2)
+    for least in (1, 7, 9, 16, 32):
+        assert (vectors.collisions(a, b, 20, least) == (counts >= least)).all()
+
+
+@pytest.mark.parametrize("cell", [64, 4096])
+def test_recall_near_the_threshold(spark, monkeypatch, cell):
+    """Pairs at cosines from 0.9 to 0.93, in many cells and in one, against brute force."""
+    monkeypatch.setattr(vectors, "CELL", cell)
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((800, 32))
+    other = rng.standard_normal((800, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.93, (800, 1))
+    rows = np.float32(np.concatenate([base, c * base + np.sqrt(1 - c * c) * other]))
+    x = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    found = {r.vec_id: r.n_links for r in vectors.near_duplicates(table).collect()}
+    assert all(found[i] <= near[i].sum() for i in found)
+    assert sum(found.values()) >= 0.98 * near.sum()
+
+
