@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .shared import map_arrow, numbered, small_or_shuffled, written
+from .shared import groups, map_arrow, numbered, small_or_shuffled, written
 
 #: Groups that a task differences together, and blocks' tuples.
 BLOCK, FAN = 50_000, 2_048
@@ -77,22 +77,20 @@ def _combined(nodes: DataFrame, fan: int) -> DataFrame:
     labels are where a node's parts go in its parent; a parent has a row of its
     own, with its sums and without labels.
     """
-    parts = max(1, -(-nodes.count() // fan))
+    family = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-nodes.count() // fan))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        all_ = pa.Table.from_batches(held).sort_by("node").combine_chunks()
-        node = all_.column("node").to_numpy()
-        sums = np.array(all_.column("sums").to_pylist(), np.int64)
-        labels = difference(sums)
-        rows = [(int(x), int(node[0]), a, None) for x, a in zip(node, labels.tolist(), strict=True)]
-        rows.append((int(node[0]), None, None, total(sums, labels).tolist()))
-        columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["node", "parent", "labels", "sums"])
-
-    dealt = nodes.select("node", "sums").repartition(parts, "node")
+        for g in groups(batches, 1):
+            node = g.column("node").to_numpy()
+            sums = np.array(g.column("sums").to_pylist(), np.int64)
+            labels = difference(sums)
+            rows = [(int(x), int(node[0]), a, None) for x, a in zip(node, labels.tolist(), strict=True)]
+            rows.append((int(node[0]), None, None, total(sums, labels).tolist()))
+            columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["node", "parent", "labels", "sums"])
+
+    # families are told apart by their number, whatever the partitions are
+    dealt = nodes.select(family.alias("family"), "node", "sums").repartition("family").sortWithinPartitions("family", "node")
     return written(dealt.mapInArrow(run, "node long, parent long, labels array<int>, sums array<long>"), "shard-level")
 
 
@@ -130,7 +128,7 @@ def shard(docs: DataFrame, shards: int = 16, block: int = BLOCK, fan: int = FAN)
         F.unhex(F.sha2(text, 256)).alias("digest"),
     )
     rows = written(rows, "shard-rows")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
+    texts = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n_block, held = TaskContext.get().partitionId(), 0, []
@@ -149,7 +147,7 @@ def shard(docs: DataFrame, shards: int = 16, block: int = BLOCK, fan: int = FAN)
         if sum(x.num_rows for x in held):
             yield close()
 
-    labelled = written(map_arrow(groups, label, "digest binary, bytes long, block long, label int"), "shard-groups")
+    labelled = written(map_arrow(texts, label, "digest binary, bytes long, block long, label int"), "shard-groups")
     sums = labelled.groupBy("block", "label").agg(F.sum("bytes").alias("bytes"))
     parts = F.map_from_entries(F.collect_list(F.struct("label", "bytes")))  # one entry for each shard at most
     nodes = sums.groupBy(F.col("block").alias("node")).agg(parts.alias("m"))

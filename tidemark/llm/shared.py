@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,6 +97,29 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(i, step)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of equal values of the first columns in a sorted stream; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(b.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(c[x] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(x, y - x))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """Broadcasts a side whose counted rows are few; a larger one is left to a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -168,4 +192,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-__all__ = ["BROADCAST_ROWS", "components", "drop_written", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "sums_before", "written"]
+__all__ = ["BROADCAST_ROWS", "components", "drop_written", "groups", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "sums_before", "written"]

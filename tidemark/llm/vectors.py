@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import components, map_arrow, spread, written
+from .shared import components, groups, map_arrow, spread, written
 
 TABLE_RECALL, COUNT_RECALL = 0.995, 0.9995
 #: Classes in a cell, projections counted, half-width of a window in units of the threshold's distance, and in steps of a sketch.
@@ -90,29 +90,6 @@ def prepare(vectors: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "vec_id long, digest binary, vec binary").withColumn("digest", F.when(F.col("vec_id").isNotNull(), F.col("digest")))
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of equal values of the first columns in a sorted stream; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.zeros(b.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            now = tuple(c[x] for c in columns)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(x, y - x))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def sketch(unit: np.ndarray, step: float, seed: int) -> np.ndarray:
     """The projections of unit vectors on all lines, in steps."""
     return np.clip(np.round(unit @ lines(unit.shape[1], LINES, seed + 1) / step), -32767, 32767).astype(np.int16)
@@ -284,4 +261,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 7) -
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-__all__ = ["collisions", "groups", "lines", "near_duplicates", "plan", "prepare", "sketch"]
+__all__ = ["collisions", "lines", "near_duplicates", "plan", "prepare", "sketch"]
