@@ -1,8 +1,8 @@
 """Near copies of texts: pairs whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates come from two sides: SimHash fingerprints within some bits, and bands
-of min-wise hashes, of which a pair at 0.8 shares one with probability 0.9998 (48
-bands of 8).  What candidates connect is gathered with its shingle sets and
+Candidates come from two sides: SimHash fingerprints within two bits, by covering
+masks and half-radius balls, and bands of min-wise hashes, of which a pair at 0.8
+shares one with probability 0.9998 (48 bands of 8).  What candidates connect is gathered with its shingle sets and
 compared exactly, so no link is below the threshold.  Sets that are equal are one
 node; a group of very many is compared block by block in different tasks.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import simhash
 from .shared import components, map_arrow, small_or_shuffled, written
 
-WORDS, RADIUS, LEAST = 5, 5, 0.8
+WORDS, RADIUS, LEAST = 5, 2, 0.8
 BANDS, ROWS = 48, 8
 #: Sets, and shingles, that one block holds on average.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19

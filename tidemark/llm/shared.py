@@ -57,19 +57,33 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables that operators of this process have left in the shared folder; returns how many.
-
-    Call it when the results that read them are no longer needed.
-    """
+def drop(spark: SparkSession, paths: list[str]) -> int:
+    """Deletes tables that nothing reads any more; returns how many."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     n = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += path.getFileSystem(conf).delete(path, True)
+        if name in _written:
+            _written.remove(name)
     return n
 
 
+def drop_written(spark: SparkSession, since: int = 0, but_last: bool = False) -> int:
+    """Deletes the tables that operators of this process have left in the shared folder; returns how many.
+
+    Call it when the results that read them are no longer needed.  since: only
+    those after the first so many (see written_so_far); but_last: the newest
+    table stays.
+    """
+    return drop(spark, _written[since : -1 if but_last else None])
+
+
+def written_so_far() -> int:
+    """How many tables operators of this process have left."""
+    return len(_written)
+
+
 def spread(df: DataFrame, least: int = 0) -> int:
     """How many partitions to deal rows to."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -167,6 +181,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     table of its own, so no component is ever in one task or on the driver.
     """
     spark = edges.sparkSession
+    before = written_so_far()
     now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
     state = None
     while True:
@@ -184,6 +199,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .distinct()
         )
         now = written(small, "edges")
+        drop_written(spark, before, but_last=True)
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if got[:2] == state and got[0] == got[2]:
             break
@@ -192,4 +208,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-__all__ = ["BROADCAST_ROWS", "components", "drop_written", "groups", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "sums_before", "written"]
+__all__ = ["BROADCAST_ROWS", "components", "drop", "drop_written", "groups", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "sums_before", "written", "written_so_far"]

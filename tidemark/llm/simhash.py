@@ -106,7 +106,9 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(a, b): links that join exactly the fingerprints connected by steps of at most radius bits.
 
-    distinct: a table (fp) of distinct fingerprints.
+    distinct: a table (fp) of distinct fingerprints.  For radius 2 the work grows
+    with the fingerprints; for others, crowded buckets are compared block by
+    block, which grows with the square of a bucket.
     """
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius))])
     keyed = distinct.select("fp", F.explode(tables).alias("k")).select("k.t", "k.key", "fp")
