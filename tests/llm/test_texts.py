@@ -260,6 +260,54 @@ def test_common_is_the_longest_common_subsequence():
         assert fuzzyhash._common("".join(x * 2 for x in a), "".join(y * 2 for y in b)) == table[-1][-1]
 
 
+def _piecewise(text):
+    """The fingerprint by its definition, byte by byte."""
+    raw, mix, m64 = text.encode(), 0x9E3779B97F4A7C15, (1 << 64) - 1
+    values = []
+    for p in range(len(raw)):
+        seven = bytes(max(0, 6 - p)) + raw[max(0, p - 6) : p + 1]
+        x = int.from_bytes(seven, "little") * mix & m64
+        values.append(((x ^ x >> 32) * mix & m64) >> 32)
+    ends = lambda e: sorted({p + 1 for p, v in enumerate(values) if v < 1 << (32 - e)} | {len(raw)} - {0})
+    e = 2
+    while sum(v < 1 << (32 - e) for v in values) >= 64:
+        e += 1
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    letters = lambda cuts: [divmod(zlib.crc32(raw[a:b]) & 0xFFF, 64) for a, b in zip([0, *cuts], cuts, strict=False)]
+    return ":".join([str(e), *("".join(alphabet[x] + alphabet[y] for x, y in letters(ends(k)) if raw) for k in (e, e + 1))])
+
+
+def _edit_likeness(one, other):
+    """Likeness by a table of edit distances, insertions and deletions."""
+    pairs = lambda s: [s[i : i + 2] for i in range(0, len(s), 2)]
+    (e, *a), (f, *b) = one.split(":"), other.split(":")
+    at = {int(e) + i: pairs(s) for i, s in enumerate(a)}, {int(f) + i: pairs(s) for i, s in enumerate(b)}
+    found = [0.0]
+    for k in at[0].keys() & at[1].keys():
+        x, y = at[0][k], at[1][k]
+        line = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            before, line = line, [i]
+            for j, q in enumerate(y, 1):
+                line.append(min(before[j] + 1, line[-1] + 1, before[j - 1] if p == q else i + j))
+        found.append(1 - line[-1] / (len(x) + len(y)) if x and y else float(x == y))
+    return max(found)
+
+
+def test_fingerprints_against_their_definition():
+    import random
+
+    random.seed(11)
+    words = ["".join(random.choices("abcdefgh é", k=random.randint(1, 9))) for _ in range(300)]
+    texts = ["", "a", "é" * 9, "ab" * 40] + [" ".join(random.choices(words, k=n)) for n in (2, 30, 60, 200, 700, 1500, 3000)]
+    texts += [fuzzyhash.edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+    prints = [fuzzyhash.fingerprint(t) for t in texts]
+    assert prints == [_piecewise(t) for t in texts]
+    for a in prints:
+        for b in prints:
+            assert fuzzyhash.likeness(a, b) == pytest.approx(_edit_likeness(a, b))
+
+
 def test_signatures_do_not_depend_on_steps(monkeypatch):
     text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(5000))
     whole = fuzzyhash.fingerprint(text)

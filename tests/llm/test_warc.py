@@ -30,6 +30,17 @@ def test_bundle_round_trip_and_random_access():
         warc.Bundle(raw[:-1])
 
 
+def test_records_that_share_an_id():
+    w = warc.Writer(frame_bytes=10)
+    for body in (b"one", b"two"):
+        w.add("<urn:page:none>", warc.record(None, None, body, None))
+    b = warc.Bundle(w.bytes())
+    assert [body for _, body in b.read_all("<urn:page:none>")] == [b"one", b"two"] and b.read_all("<urn:page:3>") == []
+    for name in ("<urn:page:none>", "<urn:page:3>"):
+        with pytest.raises(KeyError):
+            b.read(name)
+
+
 def _expected(rows, least):
     top = {}
     for i, _, h in rows:

@@ -114,6 +114,8 @@ def edited(text: str, following: str) -> str:
 
 
 LEAST_ID = -(1 << 63)
+#: Fingerprints that a task remembers, for texts of at most so many characters: copies come together.
+MEMORY, MEMORY_CHARS = 512, 8192
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
@@ -133,7 +135,8 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
 
     Each row goes to the bucket of its doc_id range; the first row of a bucket is
     also sent, as guard, to the bucket before, and that of the first bucket to the
-    last.  Texts are shuffled once.
+    last.  Texts are shuffled once.  The driver sees bounds and a first key for
+    each bucket, of which there are `parts`, whatever the rows are.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(LEAST_ID)))
@@ -172,7 +175,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
             out.append((doc_id, len(text), sha, own, changed_print, likeness(own, changed_print), likeness(own, following_print)))
 
-        known = functools.lru_cache(maxsize=512)(fingerprint)
+        short = functools.lru_cache(maxsize=MEMORY)(fingerprint)
+        known = lambda text: short(text) if len(text) <= MEMORY_CHARS else fingerprint(text)
         for b in batches:
             for guard, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("guard", "doc_id", "text")), strict=True):
                 if guard and held is None:  # later rows of the same id

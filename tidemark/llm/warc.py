@@ -142,10 +142,16 @@ class Bundle:
         at, packed, _ = self.places[-1]
         return [tuple(x) for x in json.loads(zlib.decompress(self.raw[at + 8 : at + packed]))]
 
+    def read_all(self, record_id: str) -> list[tuple[dict[str, str], bytes]]:
+        """The records of an id, each from one frame; several where rows of pages share a page_id or have none."""
+        return [parse(self.frame(f), o)[:2] for r, f, o in self.index() if r == record_id]
+
     def read(self, record_id: str) -> tuple[dict[str, str], bytes]:
-        """One record, from one frame."""
-        frame, offset = next((f, o) for r, f, o in self.index() if r == record_id)
-        return parse(self.frame(frame), offset)[:2]
+        """The only record of an id, from one frame."""
+        at = [(f, o) for r, f, o in self.index() if r == record_id]
+        if len(at) != 1:
+            raise KeyError(f"{record_id}: {len(at)} records")
+        return parse(self.frame(at[0][0]), at[0][1])[:2]
 
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
         for i in range(len(self)):
@@ -159,8 +165,10 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes: int =
     """Writes a record per row of pages (page_id, url, html; other columns are ignored) to bundles at path.
 
     A null html is an empty payload, a null page_id the smallest of all.  Rows
-    with the page_id of the response are responses too.  Payloads are not
-    shuffled while few of them have copies.
+    with the page_id of the response are responses too; rows that share a page_id,
+    or have none, share a record id.  A very long page is a frame of its own.  An
+    empty table gives no bundle.  Payloads are not shuffled while few of them have
+    copies.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("sha", F.concat(F.sha1("payload"), F.octet_length("payload").cast("string")))
