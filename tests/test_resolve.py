@@ -83,7 +83,7 @@ def test_reads_in_order(spark):
     for bad in (lambda: scan.scan(view, b"a", b""), lambda: scan.get(view, b"")):
         with pytest.raises(InvalidMutation):
             bad()
-    found = {bytes(r.key): r.found for r in scan.multi_get(spark.createDataFrame([(b"a",), (b"zz",)], "key binary"), view).collect()}
+    found = {bytes(r.key): r.found for r in scan.look_up(spark.createDataFrame([(b"a",), (b"zz",)], "key binary"), view).collect()}
     assert found == {b"a": True, b"zz": False}
 
 

@@ -1,42 +1,62 @@
-"""Key ranges with sampled bounds: the way to work on keys in order without one task that sees them all."""
+"""Key ranges: the way to work on keys in order without one task that sees them all."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys sampled for the bounds, per range; the sample on the driver is at most 4 times that for all ranges.
+from ..plans.scratch import written
+
+#: Keys sampled for the bounds, per range.
 SAMPLE_PER_BIN = 40
-#: Ranges at most, so that finding a key's range stays cheap.
-MOST_BINS = 1024
+#: Values looked at in one step of a search.
+FAN = 16
+
+
+def search(array: Column, size: int, key: Column, strict: bool = False) -> Column:
+    """How many values of an ascending array of `size` values are at or below a key, or below it: a search in steps of FAN."""
+    steps = [1]
+    while steps[0] * FAN <= size:
+        steps.insert(0, steps[0] * FAN)
+    below = lambda x: x < key if strict else x <= key
+    places = F.array(*[F.lit(i) for i in range(1, FAN)])
+    more = lambda at, step: F.size(F.filter(places, lambda i: below(F.get(array, at + i * step - 1))))
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: at + step * more(at, step))
+
 
+def sampled_bounds(keys: DataFrame, column: str = "key", bins: int | None = None) -> list:
+    """Ascending bounds that cut the keys into about so many ranges, by default as many as there are shuffle partitions.
 
-def sampled_bounds(keys: DataFrame, column: str = "key") -> list:
-    """Ascending bounds that cut the keys into about as many ranges as there are shuffle partitions."""
-    bins = min(MOST_BINS, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    want = bins * SAMPLE_PER_BIN
-    n = max(1, keys.count())
-    found = sorted(r[0] for r in keys.select(column).where(F.col(column).isNotNull()).sample(min(1.0, 2 * want / n), seed=1).limit(4 * want).collect())
+    One pass over the keys; SAMPLE_PER_BIN of them for each range come to the driver.
+    """
+    bins = bins or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if bins < 2:
+        return []
+    some = keys.select(column).where(F.col(column).isNotNull()).orderBy(F.rand(1)).limit(bins * SAMPLE_PER_BIN)
+    found = sorted(bytes(x) if isinstance(x, bytearray) else x for (x,) in some.collect())
     return sorted({found[i * len(found) // bins] for i in range(1, bins)}) if found else []
 
 
 def bin_of(key: Column, bounds: list, strict: bool = False) -> Column:
     """How many bounds are at or below a key, or below it."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < key if strict else b <= key))
+    return search(F.array(*[F.lit(b) for b in bounds]), len(bounds), key, strict) if bounds else F.lit(0)
+
+
+def in_ranges(rows: DataFrame, order: list[Column], name: str = "ranges") -> DataFrame:
+    """rows with _part, the number of the range that each lies in: a table, so that whatever is asked of it finds the same ranges."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), name)
 
 
-def with_rank(view: DataFrame, name: str = "rank", reverse: bool = False) -> DataFrame:
+def with_rank(view: DataFrame, name: str = "rank", reverse: bool = False, column: str = "key") -> DataFrame:
     """view with the place of each key in ascending or descending order, from 1.
 
-    A window ranks the keys of one range; the sizes of the ranges before, one row
-    per range, give where its ranks begin.
+    The view is computed once.  A window ranks the keys of one range; the sizes of
+    the ranges before, one row per range, give where its ranks begin.
     """
-    bounds = sampled_bounds(view)
-    binned = view.withColumn("_bin", bin_of(F.col("key"), bounds))
+    put = in_ranges(view, [F.col(column)])
     order = "desc" if reverse else "asc"
-    counts = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.selectExpr("_bin", f"sum(_n) over (order by _bin {order}) - _n as _before")
-    ranked = binned.selectExpr("*", f"row_number() over (partition by _bin order by key {order}) as _at")
-    return ranked.join(F.broadcast(before), "_bin").withColumn(name, F.col("_before") + F.col("_at")).drop("_bin", "_before", "_at")  # MOST_BINS rows at most
+    counts = put.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.selectExpr("_part", f"sum(_n) over (order by _part {order}) - _n as _before")
+    ranked = put.selectExpr("*", f"row_number() over (partition by _part order by `{column}` {order}) as _at")
+    return ranked.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")  # a row per range

@@ -10,17 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DELETE, LATEST, RANGE_DELETE
-from .tombstones import coalesce, newest_cover, serves, unshadowed
-
-
-def with_newer(points: DataFrame) -> DataFrame:
-    """Point versions with the seq of the next newer version of their key, null for the newest."""
-    return points.selectExpr("*", "lag(seq) over (partition by key order by seq desc) as newer")
+from .tombstones import coalesce, newest_at, unshadowed, with_cover
 
 
 def keep_set(points: DataFrame, snapshots: list[int]) -> DataFrame:
     """Versions that the latest view or a snapshot reads."""
-    return with_newer(points).where(F.col("newer").isNull() | serves(snapshots)).drop("newer")
+    return newest_at(points, ["key"], snapshots)
 
 
 def purge(points: DataFrame, purge_before: int) -> DataFrame:
@@ -63,9 +58,9 @@ def compact(log: DataFrame, snapshots: list[int], purge_before: int = 0, bottomm
     spans = ranges.select(F.col("key").alias("start"), F.col("val").alias("end"), "seq")
     kept = keep_set(points, snapshots)
     # a version that the oldest reader already sees covered is hidden from all
-    cover = newest_cover(kept.select("key").distinct(), spans.where(F.col("seq") <= floor))
-    kept = kept.join(cover, "key", "left").where(F.col("cover").isNull() | (F.col("cover") <= F.col("seq"))).drop("cover")
+    kept = with_cover(kept, spans.where(F.col("seq") <= floor), keys=points).where(F.col("cover").isNull() | (F.col("cover") <= F.col("seq"))).drop("cover")
     if bottommost:
+        # of a key, as many versions are left as there are snapshots, and one
         newest = kept.selectExpr("*", "max(seq) over (partition by key) as newest")
         kept = newest.where(~((F.col("op") == DELETE) & (F.col("seq") == F.col("newest")) & (F.col("seq") < floor) & clear)).drop("newest")
         ranges = ranges.where(~((F.col("seq") < floor) & clear))

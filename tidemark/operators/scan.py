@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import prefix_end
-from ..plans.resolve import resolve
-from ..schema import LATEST, InvalidMutation
+from ..plans.resolve import newest, resolve
+from ..schema import DELETE, LATEST, RANGE_DELETE, InvalidMutation
+from .bins import in_ranges
 
 
 def get(log: DataFrame, key, max_seq: int = LATEST, now: int = 0) -> DataFrame:
@@ -24,11 +25,34 @@ def get(log: DataFrame, key, max_seq: int = LATEST, now: int = 0) -> DataFrame:
     return resolve(log, max_seq, now, key, after)
 
 
-def multi_get(keys: DataFrame, view: DataFrame) -> DataFrame:
-    """Every row of keys (key) with its value and found, true for keys that are visible; an empty value is found."""
+def multi_get(keys: DataFrame, log: DataFrame, max_seq: int = LATEST, now: int = 0, tombstones: str = "auto") -> DataFrame:
+    """Every row of keys (key) with its value and found, true for keys that are visible; an empty value is found.
+
+    The keys narrow the log before its aggregation.
+    """
+    return look_up(keys, resolve(log, max_seq, now, tombstones=tombstones, only=keys))
+
+
+def look_up(keys: DataFrame, view: DataFrame) -> DataFrame:
+    """multi_get on a view."""
     return keys.join(view.withColumn("found", F.lit(True)), "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def lookup(segment: DataFrame, keys: DataFrame, max_seq: int = LATEST) -> DataFrame:
+    """What one segment, or any part of a log, alone says of each of keys (key): (key, found, op, seq, val), found being value, tombstone or missing.
+
+    Range tombstones and expiry are left to the caller, as a segment knows only its own.
+    """
+    points = segment.where((F.col("op") != RANGE_DELETE) & (F.col("seq") > 0) & (F.col("seq") <= max_seq)).join(keys.select("key"), "key", "left_semi")
+    found = F.when(F.col("op").isNull(), "missing").when(F.col("op") == DELETE, "tombstone").otherwise("value")
+    return keys.select("key").join(newest(points), "key", "left").select("key", found.alias("found"), "op", "seq", "val")
+
+
+def memtable(unsealed: DataFrame) -> DataFrame:
+    """Point versions of the unsealed log with their place in the run of their key, newest first; order by (key, place) to iterate."""
+    return version_ranks(unsealed).withColumnRenamed("version_rank", "place")
+
+
 def scan(view: DataFrame, start=None, end=None) -> DataFrame:
     """Keys in [start, end).  No start begins at the first key; an empty end is an error; start >= end gives nothing."""
     if end is not None and not end:
@@ -84,9 +108,35 @@ def iterate(view: DataFrame, start=None, end=None, reverse: bool = False):
     return store_range(view, start, end, reverse).toLocalIterator()
 
 
+def seek_many(probes: DataFrame, view: DataFrame) -> DataFrame:
+    """(probe, key): for each of many probes (probe) the first key at or above it, null beyond the last.
+
+    Probes and keys lie in key ranges and are passed once, downwards; the first
+    key of a range stands in for those below it.
+    """
+    both = probes.select(F.col("probe").alias("at"), F.lit(None).cast(view.schema["key"].dataType).alias("key")).union(view.select("key", "key"))
+    put = in_ranges(both, [F.col("at")], "seek")
+    own = put.selectExpr("*", "min(key) over (partition by _part order by at desc) as own").where("key is null")
+    heads = put.groupBy("_part").agg(F.min("key").alias("head"))
+    following = heads.selectExpr("_part", "min(head) over (order by _part desc rows between unbounded preceding and 1 preceding) as following")  # a row per range
+    return own.join(F.broadcast(following), "_part").select(F.col("at").alias("probe"), F.coalesce("own", "following").alias("key"))
+
+
 def version_ranks(log: DataFrame) -> DataFrame:
-    """Point versions with their rank in the run of their key, newest first."""
-    return log.where("op <> 3 and seq > 0").selectExpr("key", "seq", "op", "row_number() over (partition by key order by seq desc) as version_rank")
+    """Point versions with their rank in the run of their key, newest first.
+
+    Versions lie in ranges of (key, seq), so a key of very many is ranked in
+    several tasks; what ranges before hold of it is added.
+    """
+    order = [F.col("key"), F.col("seq").desc()]
+    put = in_ranges(log.where("op <> 3 and seq > 0").select("key", "seq", "op"), order, "versions")
+    counts = put.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("n"))
+    edges = counts.groupBy("_part").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    edges = edges.select("_part", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))  # only the first and last key of a range go on elsewhere
+    before = counts.join(F.broadcast(edges), ["_part", "key"]).selectExpr("_part", "key", "sum(n) over (partition by key order by _part) - n as before")
+    own = put.selectExpr("*", "row_number() over (partition by _part, key order by seq desc) as place")
+    ranked = own.join(F.broadcast(before), ["_part", "key"], "left")  # two rows per range at most
+    return ranked.select("key", "seq", "op", (F.col("place") + F.coalesce("before", F.lit(0))).cast("int").alias("version_rank"))
 
 
 def as_of(log: DataFrame, watermarks: list[int]) -> DataFrame:

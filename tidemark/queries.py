@@ -144,12 +144,12 @@ def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @table_query(f"WITH {LOG_SQL}, {view_sql()}, {_WANTED} SELECT w.key, v.val, v.seq, v.key IS NOT NULL AS found FROM wanted w LEFT JOIN v ON v.key = w.key")
 def multi_get(spark, sf_dir):
-    return scan.multi_get(_wanted(spark, sf_dir), resolve(log_of(spark, sf_dir)[0]))
+    return scan.multi_get(_wanted(spark, sf_dir), log_of(spark, sf_dir)[0])
 
 
 @table_query(f"WITH {LOG_SQL}, {view_sql()}, {_WANTED} SELECT concat(w.key, '?') AS key, v.val, v.seq, v.key IS NOT NULL AS found FROM wanted w LEFT JOIN v ON v.key = concat(w.key, '?')")
 def read_missing(spark, sf_dir):
-    return scan.multi_get(_wanted(spark, sf_dir).selectExpr("concat(key, '?') as key"), resolve(log_of(spark, sf_dir)[0]))
+    return scan.multi_get(_wanted(spark, sf_dir).selectExpr("concat(key, '?') as key"), log_of(spark, sf_dir)[0])
 
 
 _BETWEEN = "key >= '000010' AND key < '000020'"
@@ -242,7 +242,7 @@ def as_of_watermarks(log, n):
 @query("p AS (SELECT DISTINCT key FROM log WHERE op <> 3) SELECT p.key, max(r.seq) AS cover FROM p JOIN log r ON r.op = 3 AND r.key <= p.key AND p.key < r.val GROUP BY p.key")
 def covering_tombstones(log, n):
     points, ranges = read(log)
-    return tombstones.newest_cover(points.select("key").distinct(), ranges, "broadcast")
+    return tombstones.newest_cover(points.select("key").distinct(), ranges, "few")
 
 
 @query("p AS (SELECT DISTINCT key FROM log WHERE op <> 3) SELECT p.key, max(r.seq) AS cover FROM p JOIN log r ON r.op = 3 AND r.key <= p.key AND p.key < r.val GROUP BY p.key")
@@ -695,7 +695,7 @@ def read_reverse(spark, sf_dir):
 @table_query(f"{_O}, k AS (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR),16,'0') AS key FROM customer WHERE c_custkey % 3 = 0) SELECT k.key, w.val, w.seq, w.key IS NOT NULL AS found FROM k LEFT JOIN w ON w.key = k.key")
 def read_random(spark, sf_dir):
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").selectExpr("lpad(cast(c_custkey as string),16,'0') as key").distinct()
-    return scan.multi_get(keys, resolve(_orders(spark, sf_dir), tombstones="none"))
+    return scan.multi_get(keys, _orders(spark, sf_dir), tombstones="none")
 
 
 @table_query(f"{_O}, d AS (SELECT key, seq FROM w WHERE CAST(key AS BIGINT) % 10 <> 0) SELECT count(*) AS entries, CAST(sum(seq) AS BIGINT) AS seqs FROM d")
@@ -709,14 +709,4 @@ def delete_random(spark, sf_dir):
 def seek_random(spark, sf_dir):
     """For many probes at once, the first key at or above each: one ordered pass of probes and keys in key ranges, not a join."""
     probes = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("lpad(cast(c_custkey * 7 % 2000 as string),16,'0') as probe").distinct()
-    return seek_many(probes, resolve(_orders(spark, sf_dir), tombstones="none"))
-
-
-def seek_many(probes: DataFrame, view: DataFrame, width: int = 13) -> DataFrame:
-    """(probe, key): blocks of keys with a common prefix of so many letters, and the first key of the next block that has one."""
-    block = lambda c: F.substring(c, 1, width)
-    both = probes.select(block("probe").alias("block"), F.col("probe").alias("at"), F.lit(None).cast("string").alias("key")).union(view.select(block("key"), "key", "key"))
-    inner = both.selectExpr("block", "at", "key", "min(key) over (partition by block order by at range between current row and unbounded following) as own")
-    heads = both.groupBy("block").agg(F.min("key").alias("head"))
-    following = heads.selectExpr("block", "min(head) over (order by block rows between 1 following and unbounded following) as following")  # a row per block
-    return inner.where("key is null").join(following, "block").select(F.col("at").alias("probe"), F.coalesce("own", "following").alias("key"))
+    return scan.seek_many(probes, resolve(_orders(spark, sf_dir), tombstones="none"))
