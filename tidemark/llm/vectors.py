@@ -125,8 +125,8 @@ def collisions(a: np.ndarray, b: np.ndarray, half: int, least: int) -> np.ndarra
 
 def _candidates(t: int, same: bool, a: dict, b: dict, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """Candidates between rows of a and of b that share no cell of a table before t, a matrix for some rows of a at a time."""
-    for i in range(0, len(a["line"]), 512):
-        s = slice(i, i + 512)
+    for i in range(0, len(a["line"]), BLOCK):
+        s = slice(i, i + BLOCK)
         some = collisions(a["line"][s], b["line"], STEPS, least)
         if same:
             some &= np.arange(len(b["line"]))[None, :] > np.arange(i, i + len(some))[:, None]
@@ -214,7 +214,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 7) -
     def sides(g: pa.Table, extra: Callable[[np.ndarray], dict] = lambda m: {}) -> tuple[int, bool, list[dict]]:
         t, i, j = (g.column(c)[0].as_py() for c in ("t", "i", "j"))
         line = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.int16).reshape(-1, LINES)
-        keys = np.array(g.column("keys").to_pylist(), np.int32).reshape(len(line), -1)
+        keys = pa.concat_arrays([c.flatten() for c in g.column("keys").chunks]).to_numpy().reshape(len(line), -1)
         one = g.column("own").to_numpy() == i
         return t, i == j, [{"line": line[m], "keys": keys[m], "at": np.flatnonzero(m)} | extra(m) for m in ((one, one) if i == j else (one, ~one))]
 
