@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import components, map_arrow, small_or_shuffled, written
+from .shared import components, map_arrow, small_or_shuffled, tidy, written
 
 WORDS, RADIUS, LEAST = 5, 2, 0.8
 BANDS, ROWS = 48, 8
@@ -152,7 +152,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 found += forest(some.field("node").to_numpy(), [np.frombuffer(s, "<u8") for s in some.field("shingles").to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    return lists.select("all").mapInArrow(inside, "a long, b long").distinct()
+    return lists.select("all").mapInArrow(tidy(inside), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .shared import groups, map_arrow, numbered, small_or_shuffled, written
+from .shared import groups, map_arrow, numbered, small_or_shuffled, tidy, written
 
 #: Groups that a task differences together, and blocks' tuples.
 BLOCK, FAN = 50_000, 2_048
@@ -91,7 +91,7 @@ def _combined(nodes: DataFrame, fan: int) -> DataFrame:
 
     # families are told apart by their number, whatever the partitions are
     dealt = nodes.select(family.alias("family"), "node", "sums").repartition("family").sortWithinPartitions("family", "node")
-    return written(dealt.mapInArrow(run, "node long, parent long, labels array<int>, sums array<long>"), "shard-level")
+    return written(dealt.mapInArrow(tidy(run), "node long, parent long, labels array<int>, sums array<long>"), "shard-level")
 
 
 def _shards_of(nodes: DataFrame, shards: int, fan: int) -> DataFrame:

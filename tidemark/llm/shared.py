@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,18 +25,34 @@ def spread(df: DataFrame, least: int = 0) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, tokens: bool = False) -> DataFrame:
-    """mapInArrow with batches of at most a few MB: f gets slices, however long the texts are.
+def trim() -> None:
+    """Gives free memory of this worker back to the system: idle workers stay beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library that knows how
+        ctypes.CDLL(None).malloc_trim(0)
 
-    Workers are used again; unless f needs tokens, theirs are forgotten first.
-    """
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokens: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, in a worker that keeps no more memory than it needs: before, tokenizers are forgotten unless f uses them; after, free memory is given back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not tokens:
             forget()
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, tokens: bool = False) -> DataFrame:
+    """mapInArrow with batches of at most a few MB: f gets slices, however long the texts are; see tidy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return f(x for b in batches for x in slices(b))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, tokens), schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -142,4 +160,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-__all__ = ["BROADCAST_ROWS", "components", "drop", "drop_written", "groups", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "sums_before", "written", "written_so_far"]
+__all__ = ["BROADCAST_ROWS", "components", "drop", "drop_written", "groups", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "sums_before", "tidy", "written", "written_so_far"]

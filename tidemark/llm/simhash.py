@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, map_arrow, written
+from .shared import components, map_arrow, tidy, written
 
 BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
 #: Distinct fingerprints of a bucket that one task compares as a block.
@@ -137,7 +137,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
             found = [x for fps in b.column(0) for x in _forest(fps.values.to_numpy(), radius)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    small = lists.select("fps").mapInArrow(inside, "a long, b long")
+    small = lists.select("fps").mapInArrow(tidy(inside), "a long, b long")
     out = pairs.union(small)
     return (out.union(balls(crowd, radius)) if radius == 2 else out).distinct()
 

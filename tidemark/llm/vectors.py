@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import components, groups, map_arrow, spread, written
+from .shared import components, groups, map_arrow, spread, tidy, written
 
 TABLE_RECALL, COUNT_RECALL = 0.995, 0.9995
 #: Classes in a cell, projections counted, half-width of a window in units of the threshold's distance, and in steps of a sketch.
@@ -231,7 +231,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 7) -
                 yield from g.filter(pa.array(hit)).select([*key, "own", "rep"]).to_batches()
 
     schema = "t int, key int, dim int, i int, j int, own int, rep long"
-    survivors = written(in_blocks(blocks).mapInArrow(meet, schema), "vectors-candidates")
+    survivors = written(in_blocks(blocks).mapInArrow(tidy(meet), schema), "vectors-candidates")
     full = classes.select("rep", "w", "vec").join(table.select("rep", "sketch", "keys"), "rep")
     sent = survivors.join(full, "rep").select(*key, "own", "rep", "w", "vec", "sketch", F.expr("slice(keys, 1, t)").alias("keys"))
 
@@ -251,7 +251,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 7) -
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(n[some].astype(np.int64)), pa.array(least_rep[label[some]])], ["rep", "n", "root"])
 
-    found = written(in_blocks(sent).mapInArrow(compare, "rep long, n long, root long"), "vectors-links")
+    found = written(in_blocks(sent).mapInArrow(tidy(compare), "rep long, n long, root long"), "vectors-links")
     joined = components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
     linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = classes.select("digest", "rep", "w").join(linked, "rep", "left").join(joined, "rep", "left")

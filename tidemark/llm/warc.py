@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .shared import map_arrow, small_or_shuffled, written
+from .shared import map_arrow, small_or_shuffled, tidy, written
 
 #: Fixed values of the Zstandard seekable format and of skippable frames.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -220,7 +220,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield _batch(out)
 
     files = spark.read.schema("part int, bundle int, payload binary").parquet(path)
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, part int, bundle int, frame int")
+    return files.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, part int, bundle int, frame int")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
