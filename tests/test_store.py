@@ -118,7 +118,7 @@ def test_streaming_is_idempotent(spark, store, tmp_path):
     assert store.get(b"a") == b"2" and ingest.durable_seq(store) == 2 and spark.read.parquet(f"{tmp_path}/rejects").count() == 1
     rows = spark.createDataFrame([(5, PUT, b"b", b"1", 0)], schema)
     assert ingest.append_once(store, rows, 40) == 3 and ingest.append_once(store, rows, 40) == 3
-    ingest.seal(store)
+    store.flush()
     assert ingest.append_once(store, rows, 40) == 3
     assert ingest.is_durable(5, 5) and not ingest.is_durable(6, 5) and ingest.is_durable((1 << 31) - 1, 3)
 

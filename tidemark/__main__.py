@@ -18,7 +18,7 @@ def main(args: list[str]) -> int:
     parser.add_argument("command", choices=["put", "get", "del", "delrange", "scan", "compact", "stats"])
     parser.add_argument("operands", nargs="*")
     parser.add_argument("--reverse", action="store_true")
-    parser.add_argument("--limit", type=int, default=100)
+    parser.add_argument("--limit", type=int, default=None, help="rows of a scan; all by default")
     parser.add_argument("--ttl", type=int, default=0)
     parser.add_argument("--now", type=int, default=0)
     a = parser.parse_args(args)
@@ -37,7 +37,8 @@ def main(args: list[str]) -> int:
         print(got.decode(errors="replace"))
     elif a.command == "scan":
         start, end = [*x, None, None][:2]
-        for r in scan.store_range(store.view(now=a.now, start=start, end=end), start, end, a.reverse).limit(a.limit).toLocalIterator():
+        rows = scan.store_range(store.view(now=a.now, start=start, end=end), start, end, a.reverse)
+        for r in (rows if a.limit is None else rows.limit(a.limit)).toLocalIterator():
             print(bytes(r.key).decode(errors="replace"), bytes(r.val).decode(errors="replace"), sep="\t")
     elif a.command == "compact":
         store.compact_all()

@@ -30,6 +30,13 @@ def purge(points: DataFrame, purge_before: int) -> DataFrame:
     )
 
 
+def outside_minima(outside: DataFrame, node_id: int) -> DataFrame:
+    """One row (same, foreign): the least seq of the node's segments outside, and the least (seal_wall, node_id) of those of other nodes."""
+    same = F.min(F.when(F.col("node_id") == node_id, F.col("min_seq")))
+    foreign = F.min(F.when(F.col("node_id") != node_id, F.struct("seal_wall", "node_id")))
+    return outside.agg(same.alias("same"), foreign.alias("foreign"))
+
+
 def outside_clear(outside: DataFrame | None, node_id: int = 0, wall: int = 0):
     """A predicate on seq: no segment outside holds an older version.
 
@@ -38,9 +45,7 @@ def outside_clear(outside: DataFrame | None, node_id: int = 0, wall: int = 0):
     """
     if outside is None:
         return F.lit(True)
-    same = F.min(F.when(F.col("node_id") == node_id, F.col("min_seq")))
-    foreign = F.min(F.when(F.col("node_id") != node_id, F.struct("seal_wall", "node_id")))
-    r = outside.agg(same.alias("same"), foreign.alias("foreign")).first()
+    r = outside_minima(outside, node_id).first()
     below = F.lit(True) if r.same is None else F.col("seq") < r.same
     return below if r.foreign is None or (wall, node_id) < tuple(r.foreign) else F.lit(False)
 

@@ -50,20 +50,22 @@ def live(now: int) -> Column:
     return F.lit(True) if not now else (F.col("expire_at") == 0) | (F.col("expire_at") > now)
 
 
-def resolve(log: DataFrame, max_seq: int = LATEST, now: int = 0, start=None, end=None, without_segment: int | None = None, tombstones: str = "auto", only: DataFrame | None = None) -> DataFrame:
+def resolve(log: DataFrame, max_seq: int = LATEST, now: int = 0, start=None, end=None, without_segment: int | None = None, tombstones: str = "auto", only: DataFrame | None = None, range_log: DataFrame | None = None) -> DataFrame:
     """(key, val, seq) visible at a snapshot and a tick, for keys in [start, end).
 
     log: seq, op, key, val, expire_at and, for without_segment, segment_id.
     tombstones: how the newest covering tombstone is found, see with_cover, or
     ``none`` if the log holds no range deletes.  only: a table of the keys (key)
-    that are wanted, which narrows the log before the aggregation.  A point
-    version and a tombstone of equal seq, which only ingested histories have,
-    leave the point visible.
+    that are wanted, which narrows the log before the aggregation.  range_log:
+    where the range deletes are, if not in log.  A point version and a tombstone
+    of equal seq, which only ingested histories have, leave the point visible.
 
     The log is read for the points once, when the view runs, and for its range
     deletes once, now: a scan that its filter on op is pushed into.
     """
     points, ranges = read(log, max_seq, start, end, without_segment)
+    if range_log is not None:
+        ranges = read(range_log, max_seq, start, end, without_segment)[1]
     if only is not None:
         points = points.join(only.select("key"), "key", "left_semi")
     shown = newest(points).where(F.col("op") != DELETE)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import zlib
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.resolve import resolve
-from ..schema import DELETE, LATEST, RANGE_DELETE
-from .manifest import Conflict, Files, Segment
+from ..schema import DELETE, LATEST, LOG, RANGE_DELETE
+from .manifest import Conflict, Files
 from .store import Store
 
 
@@ -69,20 +69,37 @@ def object_name(segment_id: int) -> str:
     return f"tables/{segment_id:010d}"
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What an archive of a segment would take: its object's name and descriptor, its rows, and whether it is refused."""
+
+    segment_id: int
+    name: str
+    descriptor: dict
+    entries: int
+    refused: bool
+
+
+def plan(store: Store, segment_id: int, mode: str = "conservative") -> Plan | None:
+    """The plan of a segment's archive; None if it is gone.  Nothing is changed."""
+    s = store.version().segment(segment_id)
+    return None if s is None else Plan(segment_id, object_name(segment_id), s.descriptor(), s.entry_count, refuses(store, segment_id, mode))
+
+
 def archive(store: Store, segment_id: int, to: Files, mode: str = "conservative") -> bool:
     """Copies a segment and its descriptor out and takes it off the manifest; False if it is gone already."""
     v = store.version()
     s = v.segment(segment_id)
-    if s is None:
+    p = plan(store, segment_id, mode)
+    if s is None or p is None:
         return False
-    if refuses(store, segment_id, mode):
+    if p.refused:
         raise WouldResurrect(f"segment {segment_id}")
-    name = object_name(segment_id)
-    if not to.names(name):
-        store.files.copy(s.path, to, f"{name}/data")
-    body = json.dumps(s.descriptor(), sort_keys=True)
-    to.create(f"{name}/descriptor.json", json.dumps({"crc32": zlib.crc32(body.encode()), "descriptor": body}).encode())
-    store.commit(replace(v, segments=tuple(x for x in v.segments if x.segment_id != segment_id)))
+    if not to.names(p.name):
+        store.files.copy(s.path, to, f"{p.name}/data")
+    body = json.dumps(p.descriptor, sort_keys=True)
+    to.create(f"{p.name}/descriptor.json", json.dumps({"crc32": zlib.crc32(body.encode()), "descriptor": body}).encode())
+    store.swap(v, (s,), (), v.next_segment)
     return True
 
 
@@ -108,9 +125,10 @@ def ingest(store: Store, where: Files, segment_id: int) -> bool:
     path = f"segments/{segment_id:010d}-ingested"
     if not store.files.names(path):
         where.copy(f"{object_name(segment_id)}/data", store.files, path)
-    s = store.describe(path, segment_id, 0, d["node_id"], d["seal_wall"])
-    if s is None or s.descriptor() != d:
+    found = store.describe(path, 0, d["node_id"], d["seal_wall"])
+    if len(found) != 1 or found[0].descriptor() != d:
         raise ValueError(f"segment {segment_id} does not fit its descriptor")
+    s = found[0]
     top = max(v.next_seq, s.max_seq + 1)
     store.commit(replace(v, segments=(*v.segments, s), next_segment=max(v.next_segment, segment_id + 1), next_seq=top))
     return True
@@ -145,15 +163,14 @@ def sweep(store: Store, to: Files, horizon: bytes) -> list[int]:
 
 
 def archived(store: Store, where: Files) -> DataFrame | None:
-    """All rows of all archived segments, with their origin; None if there are none."""
-    out = None
-    for name in where.names("tables"):
-        d = descriptor(where, int(name))
-        s = Segment(level=0, path="", **d)
-        rows = store.spark.read.parquet(f"{where.root}/{object_name(s.segment_id)}/data")
-        rows = rows.withColumns({"segment_id": F.lit(s.segment_id).cast("long"), "node_id": F.lit(s.node_id).cast("long"), "seal_wall": F.lit(s.seal_wall).cast("long")})
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """All rows of all archived segments, in one scan, with their origin; None if there are none."""
+    found = [descriptor(where, int(name)) for name in where.names("tables")]
+    if not found:
+        return None
+    paths = [f"{where.root}/{object_name(d['segment_id'])}/data/{k}" for d in found for k in where.names(f"{object_name(d['segment_id'])}/data") if k.startswith("kind=")]
+    origin = store.spark.createDataFrame([(d["segment_id"], d["node_id"], d["seal_wall"]) for d in found], "segment_id long, node_id long, seal_wall long")
+    rows = store.spark.read.schema(LOG).parquet(*paths).drop("node_id", "seal_wall")
+    return rows.join(F.broadcast(origin), "segment_id").select([f.name for f in LOG])  # a row per segment
 
 
 def ship(store: Store, through: Files, to: Store, segment_id: int) -> bool:

@@ -1,9 +1,10 @@
 """The manifest: which segments make up the store, as immutable versions.
 
 A version is one JSON file, ``manifest/NNNNNNNNNN.json``, written under another
-name and renamed, so that a reader sees all of a commit or nothing; a version that
-exists already is a conflict.  Files are reached through Hadoop's file system, so
-the root may be in any store that Spark reads.
+name and then given its own in one step that fails if the name is taken, so that a
+reader sees all of a commit or nothing and of two writers one has a conflict.
+Files are reached through Hadoop's file system, so the root may be in any store
+that Spark reads.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ import uuid
 import zlib
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..schema import RANGE_DELETE
 
 MANIFEST = "manifest"
 
@@ -56,6 +61,8 @@ class Version:
     snapshots: dict[str, int] = field(default_factory=dict)
     unsealed: tuple[str, ...] = ()
     epochs: dict[str, int] = field(default_factory=dict)
+    tickets: dict[str, int] = field(default_factory=dict)
+    unsealed_rows: int = 0
 
     def level(self, n: int) -> list[Segment]:
         return [s for s in self.segments if s.level == n]
@@ -76,7 +83,7 @@ class Version:
             out.append("segment ids repeat")
         for n in {s.level for s in self.segments} - {0}:
             run = sorted(self.level(n), key=lambda s: s.first_key)
-            out += [f"level {n}: segments {a.segment_id} and {b.segment_id} overlap" for a, b in zip(run, run[1:], strict=False) if a.node_id == b.node_id and b.first_key <= a.last_key]
+            out += [f"level {n}: segments {a.segment_id} and {b.segment_id} overlap" for a, b in zip(run, run[1:], strict=False) if a.node_id == b.node_id and b.first_key < a.last_key]  # a last key may be the end of a range delete, which is not in it
         if self.flushed_seq >= self.next_seq:
             out.append("the flushed floor is not below the counter")
         return out
@@ -114,12 +121,27 @@ class Files:
         stream = self.fs.create(draft, False)
         stream.write(data)
         stream.close()
-        # rename to a taken name fails or is refused, depending on the file system
-        if self.fs.exists(target) or not self.fs.rename(draft, target):
+        try:
+            self._claim(draft, target)
+        except Py4JJavaError as e:
+            if self.fs.exists(target):
+                return False
+            raise OSError(f"{name} was not written") from e
+        finally:
             self.fs.delete(draft, False)
-            return False
         return True
 
+    def _claim(self, draft, target) -> None:
+        """Gives a file its name, in one step that fails if the name is taken."""
+        if self.fs.getUri().getScheme() == "file":  # a rename would replace what is there; a link cannot
+            nio = self.jvm.java.nio.file
+            local = lambda p: nio.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self.jvm.java.lang.String, 0))
+            nio.Files.createLink(local(target), local(draft))
+        else:
+            options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, target, options)
+
     def delete(self, name: str) -> bool:
         return self.fs.delete(self.path(name), True)
 
@@ -174,3 +196,34 @@ def frame(spark: SparkSession, v: Version) -> DataFrame:
     """The segments of a version as rows."""
     schema = "segment_id long, level int, path string, first_key string, last_key string, min_seq long, max_seq long, entry_count long, rdel_count long, node_id long, seal_wall long, live_lower_bound string"
     return spark.createDataFrame([tuple(asdict(s).values()) for s in v.segments], schema)
+
+
+def segment_stats(rows: DataFrame) -> DataFrame:
+    """(segment_id, first_key, last_key, min_seq, max_seq, entry_count, rdel_count) of log rows; the end of a range delete counts as a key."""
+    ranged = F.col("op") == RANGE_DELETE
+    top = F.when(ranged, F.col("val")).otherwise(F.col("key"))
+    sums = [F.min("key").alias("first_key"), F.max(top).alias("last_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq")]
+    return rows.groupBy("segment_id").agg(*sums, F.count(F.lit(1)).alias("entry_count"), F.count(F.when(ranged, 1)).alias("rdel_count"))
+
+
+def reaches(start=None, end=None, max_seq: int | None = None) -> Column:
+    """Whether a segment, a manifest row, can hold something of [start, end) at or below a snapshot."""
+    where = F.lit(True)
+    if start is not None:
+        where = where & (F.col("last_key") >= F.lit(start))
+    if end is not None:
+        where = where & (F.col("first_key") < F.lit(end))
+    return where if max_seq is None else where & (F.col("min_seq") <= max_seq)
+
+
+def overlapping(segments: DataFrame) -> DataFrame:
+    """(segment_id, other) of the pairs of segments, manifest rows, whose key ranges meet."""
+    others = F.broadcast(segments.select(F.col("segment_id").alias("other"), F.col("first_key").alias("_first"), F.col("last_key").alias("_last")))  # a row per segment
+    meet = (F.col("segment_id") < F.col("other")) & (F.col("first_key") <= F.col("_last")) & (F.col("_first") <= F.col("last_key"))
+    return segments.join(others, meet).select("segment_id", "other")
+
+
+def level_stats(segments: DataFrame) -> DataFrame:
+    """(level, segments, entries, rdels, min_seq, max_seq) of each level of manifest rows."""
+    sums = [F.sum("entry_count").alias("entries"), F.sum("rdel_count").alias("rdels"), F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq")]
+    return segments.groupBy("level").agg(F.count(F.lit(1)).alias("segments"), *sums)
