@@ -90,7 +90,7 @@ def test_reads_in_order(spark):
 def test_key_arithmetic(spark):
     assert keys.prefix_end(b"a\xff\xff") == b"b" and keys.prefix_end(b"\xff") is None and keys.prefix_end("a") == "b"
     assert keys.successor(b"a", 2) == b"a\0" and keys.successor(b"a\xff", 2) == b"b"
-    row = spark.range(1).select(keys.recorder_key(F.lit(258).cast("long"), "r", F.lit(3)).alias("k")).select("k", keys.tick_of(F.col("k")), keys.key_kind(F.col("k")), keys.key_number(F.col("k"))).first()
+    row = spark.range(1).select(keys.recorder_key(F.lit(258).cast("long"), F.lit("r"), F.lit(3)).alias("k")).select("k", keys.tick_of(F.col("k")), keys.key_kind(F.col("k")), keys.key_number(F.col("k"))).first()
     assert bytes(row[0]) == b"\0\0\0\0\0\0\x01\x02r\x03" and tuple(row[1:]) == (258, "r", 3)
     assert spark.range(1).select(keys.temperature(F.unhex(F.lit("51b9006109b86782")))).first()[0] == pytest.approx(25.89)
 

@@ -16,16 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed values of FNV-1a 64 and of the SplitMix64 finalizer.
+#: Fixed values of FNV-1a 64, of the SplitMix64 finalizer, and of the one that the recorder's values use.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+MIX_VALUE = 0xFF51AFD7ED558CCD
 
 
-def _fold(state: np.ndarray, parts: list[bytes]) -> np.ndarray:
-    """FNV-1a of one byte string per row, continuing from state; longest first, so each step is one array operation."""
+def _fold(state: np.ndarray, parts: list[bytes], sized: bool = True) -> np.ndarray:
+    """FNV-1a of one byte string per row, after its length if sized, continuing from state.
+
+    Longest first, so each step is one array operation; a step for each byte of
+    the longest, which the log's limit on values bounds.
+    """
     size = np.array([len(p) for p in parts], np.int64)
     prime = np.uint64(FNV_PRIME)
-    for k in range(8):
+    for k in range(8 if sized else 0):
         state = (state ^ ((size >> 8 * k) & 255).astype(np.uint64)) * prime
     order = np.argsort(-size, kind="stable")
     flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
@@ -55,6 +60,25 @@ def _entry_hash(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series(hashes([bytes(k or b"") for k in key], [bytes(v or b"") for v in val]).view(np.int64))
 
 
+def values_of(keys: list[bytes]) -> list[bytes]:
+    """The eight bytes that the recorder stores under each key: a hash of the key, so that a checker needs no copy of the data."""
+    with np.errstate(over="ignore"):
+        h = _fold(np.full(len(keys), FNV_OFFSET, np.uint64), keys, sized=False)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(MIX_VALUE)
+        raw = (h ^ (h >> np.uint64(33))).astype("<u8").tobytes()
+    return [raw[i : i + 8] for i in range(0, len(raw), 8)]
+
+
+def _value_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for keys in batches:
+        yield pd.Series(values_of([bytes(k or b"") for k in keys]), dtype=object)
+
+
+def value_of(key: Column) -> Column:
+    """The value that belongs to a recorder's key."""
+    return F.pandas_udf(_value_of, T.BinaryType())(key.cast("binary"))
+
+
 def entry_hash(key: Column, val: Column) -> Column:
     """The hash of an entry's key and value as an unsigned decimal; text counts as its UTF-8 bytes."""
     signed = F.pandas_udf(_entry_hash, T.LongType())(key.cast("binary"), val.cast("binary")).cast("decimal(20,0)")

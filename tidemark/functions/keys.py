@@ -42,9 +42,9 @@ def tick_of(key: Column) -> Column:
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, 10).cast("long")
 
 
-def recorder_key(tick: Column, kind: str, number: Column) -> Column:
+def recorder_key(tick: Column, kind: Column, number: Column) -> Column:
     """Tick, kind letter and sensor number."""
-    return F.concat(tick_bytes(tick), F.lit(kind).cast("binary"), F.unhex(F.lpad(F.hex(number), 2, "0")))
+    return F.concat(tick_bytes(tick), kind.cast("binary"), F.unhex(F.lpad(F.hex(number), 2, "0")))
 
 
 def key_kind(key: Column) -> Column:
@@ -66,5 +66,9 @@ def temperature(raw: Column) -> Column:
     return F.lit(15.0) + (unsigned(raw) % F.lit(2000)).cast("double") / F.lit(100.0)
 
 
-def segment_name(number: Column) -> Column:
-    return F.format_string("tables/%010d.segment", number)
+#: The name of an archived segment's object, by its number.
+OBJECT_NAME = "tables/%010d"
+
+
+def object_name(number: Column) -> Column:
+    return F.format_string(OBJECT_NAME, number)

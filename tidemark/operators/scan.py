@@ -144,3 +144,8 @@ def as_of(log: DataFrame, watermarks: list[int]) -> DataFrame:
     marks = log.sparkSession.createDataFrame([(int(w),) for w in watermarks], "watermark long")
     points = log.where("op <> 3 and seq > 0").join(F.broadcast(marks), F.col("seq") <= F.col("watermark"))
     return points.groupBy("watermark", "key").agg(F.max_by(F.struct("op", "seq"), "seq").alias("v")).select("watermark", "key", "v.op", "v.seq")
+
+
+def checksum(view: DataFrame) -> DataFrame:
+    """(entries, bytes) of a view: how many entries it has, and the bytes of their keys and values."""
+    return view.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("val")), F.lit(0)).cast("long").alias("bytes"))

@@ -111,13 +111,13 @@ def _looked_up(rows: DataFrame, some: DataFrame, got: list, by: list[str], carry
 
 
 def _nodes(first: Column, stop: Column, levels: int) -> Column:
-    """The ranges [first, stop) of bins as at most two nodes of each level of a binary tree: structs (level, node)."""
+    """The ranges [first, stop) of bins as at most two nodes of each level of a binary tree: structs (_level, _node)."""
     out = []
     for k in range(levels + 1):
         a = F.floor((first + ((1 << k) - 1)) / (1 << k)).cast("int")
         b = F.floor(stop / (1 << k)).cast("int")
-        left = F.when((a < b) & (a % 2 == 1), F.struct(F.lit(k).alias("level"), a.alias("node")))
-        right = F.when((a < b) & (b % 2 == 1), F.struct(F.lit(k).alias("level"), (b - 1).alias("node")))
+        left = F.when((a < b) & (a % 2 == 1), F.struct(F.lit(k).alias("_level"), a.alias("_node")))
+        right = F.when((a < b) & (b % 2 == 1), F.struct(F.lit(k).alias("_level"), (b - 1).alias("_node")))
         out += [left, right]
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
@@ -131,10 +131,10 @@ def _swept(rows: DataFrame, some: DataFrame, by: list[str], carry: list[str], ke
     # the bins where a range begins and ends see it itself; those between are whole, and see the newest of all that span them
     ends = edges.select("*", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_bin")).select("_bin", *by, "start", "end", "seq", *carry)
     inner = edges.where("_high - _low > 1").select(*by, "seq", *carry, F.explode(_nodes(F.col("_low") + 1, F.col("_high"), levels)).alias("_n"))
-    of_node = inner.groupBy("_n.level", "_n.node", *by).agg(F.max_by(F.struct("seq", *carry), "seq").alias("t"))
-    above = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("_bin"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    above = above.withColumn("node", F.expr("cast(shiftright(_bin, level) as int)"))
-    spans = above.join(of_node, ["level", "node"]).groupBy("_bin", *by).agg(F.max_by("t", "t.seq").alias("t"))
+    of_node = inner.groupBy("_n._level", "_n._node", *by).agg(F.max_by(F.struct("seq", *carry), "seq").alias("t"))
+    above = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("_bin"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level"))
+    above = above.withColumn("_node", F.expr("cast(shiftright(_bin, _level) as int)"))
+    spans = above.join(of_node, ["_level", "_node"]).groupBy("_bin", *by).agg(F.max_by("t", "t.seq").alias("t"))
     lowest = F.lit("" if isinstance(kind, T.StringType) else b"").cast(kind)
     spans = spans.select("_bin", *by, lowest.alias("start"), F.lit(None).cast(kind).alias("end"), "t.seq", *[f"t.{c}" for c in carry])
     both = ends.union(spans)

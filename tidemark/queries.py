@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fingerprint
-from .functions.keys import decimal_key, recorder_key, tick_of
+from .functions.fingerprint import value_of
+from .functions.keys import decimal_key, key_kind, key_number, object_name, recorder_key, temperature, tick_of
 from .operators import diff as diffs
 from .operators import recorder, retention, scan, tombstones
 from .operators.bins import with_rank
+from .plans.groups import complete
 from .plans.resolve import newest, read, resolve, resolve_merged
-from .schema import DELETE, LATEST, checked, sequenced
+from .plans.scratch import new_path
+from .schema import LATEST, Batch, checked, sequenced
+from .sources import manifest
 from .sources.archive import resurrected
-from .streaming.ingest import complete
+from .sources.store import Store
+from .streaming.ingest import append_once
 
 _LOG = """select event_id + 1 as seq,
  cast(case when event_type='error' and event_id % 5 = 0 then 3
@@ -135,11 +140,11 @@ def point_get(log, n):
     return out
 
 
-_WANTED = "wanted AS (SELECT DISTINCT concat(lpad(cast(user_id AS VARCHAR),6,'0'),'/',event_type) AS key FROM events WHERE event_id % 7 = 0)"
+_WANTED = "wanted AS (SELECT DISTINCT concat(lpad(cast(user_id AS VARCHAR),6,'0'),'/',event_type) AS key FROM events)"
 
 
 def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 7 = 0").selectExpr("concat(lpad(cast(user_id as string),6,'0'),'/',event_type) as key").distinct()
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("concat(lpad(cast(user_id as string),6,'0'),'/',event_type) as key").distinct()
 
 
 @table_query(f"WITH {LOG_SQL}, {view_sql()}, {_WANTED} SELECT w.key, v.val, v.seq, v.key IS NOT NULL AS found FROM wanted w LEFT JOIN v ON v.key = w.key")
@@ -231,7 +236,7 @@ def version_ranks(log, n):
 
 @query("x AS (SELECT 1) SELECT key, seq, op, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS place FROM log WHERE seq > 7 * ((SELECT n FROM n) // 8) AND op <> 3")
 def memtable_scan(log, n):
-    return log.where((F.col("seq") > 7 * (n // 8)) & (F.col("op") != 3)).selectExpr("key", "seq", "op", "row_number() over (partition by key order by seq desc) as place")
+    return scan.memtable(log.where(F.col("seq") > 7 * (n // 8)))
 
 
 @query(f"s AS {SNAPS} SELECT s.s AS watermark, key, arg_max(op, seq) AS op, max(seq) AS seq FROM log JOIN s ON seq <= s.s WHERE op <> 3 GROUP BY 1, 2")
@@ -277,9 +282,10 @@ def rejected_mutations(log, n):
     return checked(log, key_max=13)[1].select("seq", "fault")
 
 
-@query("x AS (SELECT 1) SELECT seq, lpad(CAST(seq AS VARCHAR), 16, '0') AS decimal_key, seq AS tick FROM log")
+@query("x AS (SELECT 1) SELECT seq, lpad(CAST(seq AS VARCHAR), 16, '0') AS decimal_key, seq AS tick, 'r' AS kind, CAST(seq % 4 AS INTEGER) AS number, concat('tables/', lpad(CAST(seq AS VARCHAR), 10, '0')) AS object_name FROM log")
 def key_codecs(log, n):
-    return log.select("seq", decimal_key(F.col("seq")).alias("decimal_key"), tick_of(recorder_key(F.col("seq"), "r", F.lit(2))).alias("tick"))
+    key = recorder_key(F.col("seq"), F.lit("r"), F.expr("seq % 4"))
+    return log.select("seq", decimal_key(F.col("seq")).alias("decimal_key"), tick_of(key).alias("tick"), key_kind(key).alias("kind"), key_number(key).alias("number"), object_name(F.col("seq")).alias("object_name"))
 
 
 # retention
@@ -483,9 +489,7 @@ def _segmented(log: DataFrame, n: int) -> DataFrame:
 
 
 def _manifest(log: DataFrame, n: int) -> DataFrame:
-    top = F.when(F.col("op") == 3, F.col("val")).otherwise(F.col("key"))
-    rows = _segmented(log, n).where("segment_id is not null").groupBy("segment_id")
-    return rows.agg(F.min("key").alias("first_key"), F.max(top).alias("last_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.count(F.lit(1)).alias("entry_count"), F.count(F.when(F.col("op") == 3, 1)).alias("rdel_count"))
+    return manifest.segment_stats(_segmented(log, n).where("segment_id is not null"))
 
 
 @query(f"{_SEGMENTS} SELECT * FROM m")
@@ -495,32 +499,32 @@ def segment_stats(log, n):
 
 @query(f"{_SEGMENTS} SELECT a.segment_id, b.segment_id AS other FROM m a JOIN m b ON a.segment_id < b.segment_id AND a.first_key <= b.last_key AND b.first_key <= a.last_key")
 def segment_overlaps(log, n):
-    m = _manifest(log, n)
-    b = F.broadcast(m.select(F.col("segment_id").alias("other"), F.col("first_key").alias("f"), F.col("last_key").alias("l")))  # a manifest: a row per segment
-    return m.join(b, (F.col("segment_id") < F.col("other")) & (F.col("first_key") <= F.col("l")) & (F.col("f") <= F.col("last_key"))).select("segment_id", "other")
+    return manifest.overlapping(_manifest(log, n))
 
 
 @query(f"{_SEGMENTS} SELECT segment_id FROM m WHERE first_key < '000020' AND last_key >= '000010' AND min_seq <= {HALF}")
 def segment_prune(log, n):
-    return _manifest(log, n).where((F.col("first_key") < "000020") & (F.col("last_key") >= "000010") & (F.col("min_seq") <= n // 2)).select("segment_id")
+    return _manifest(log, n).where(manifest.reaches("000010", "000020", n // 2)).select("segment_id")
 
 
 @query(f"{_SEGMENTS} SELECT segment_id % 2 AS level, count(*) AS segments, CAST(sum(entry_count) AS BIGINT) AS entries, CAST(sum(rdel_count) AS BIGINT) AS rdels, min(min_seq) AS min_seq, max(max_seq) AS max_seq FROM m GROUP BY 1")
 def level_stats(log, n):
-    m = _manifest(log, n).groupBy(F.expr("segment_id % 2").alias("level"))
-    return m.agg(F.count(F.lit(1)).alias("segments"), F.sum("entry_count").alias("entries"), F.sum("rdel_count").alias("rdels"), F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq"))
+    return manifest.level_stats(_manifest(log, n).withColumn("level", F.expr("segment_id % 2")))
 
 
 @query(f"{_SEGMENTS} SELECT (SELECT min(min_seq) FROM m WHERE segment_id <> 3 AND segment_id % 2 = 1) AS same_min_seq, (SELECT min(segment_id * 10 + 7) FROM m WHERE segment_id % 2 = 0) AS foreign_min")
 def outside_minima(log, n):
-    m = _manifest(log, n).where("segment_id <> 3")
-    return m.agg(F.min(F.when(F.col("segment_id") % 2 == 1, F.col("min_seq"))).alias("same_min_seq"), F.min(F.when(F.col("segment_id") % 2 == 0, F.col("segment_id") * 10 + 7)).alias("foreign_min"))
+    outside = _manifest(log, n).where("segment_id <> 3").selectExpr("segment_id % 2 as node_id", "segment_id * 10 + 7 as seal_wall", "min_seq")
+    return retention.outside_minima(outside, node_id=1).select(F.col("same").alias("same_min_seq"), F.col("foreign.seal_wall").alias("foreign_min"))
 
 
-@query("x AS (SELECT 1) SELECT key, arg_max(op, seq) AS op, max(seq) AS seq, CASE WHEN arg_max(op, seq) = 2 THEN 'tombstone' ELSE 'value' END AS found FROM log WHERE op <> 3 AND (seq - 1) // ((SELECT n FROM n) // 8) = 2 GROUP BY key")
+@query(
+    """k AS (SELECT DISTINCT key FROM log WHERE op <> 3), s AS (SELECT * FROM log WHERE op <> 3 AND (seq - 1) // ((SELECT n FROM n) // 8) = 2),
+ w AS (SELECT key, arg_max(op, seq) AS op, arg_max(val, seq) AS val, max(seq) AS seq FROM s GROUP BY key)
+ SELECT k.key, CASE WHEN w.key IS NULL THEN 'missing' WHEN w.op = 2 THEN 'tombstone' ELSE 'value' END AS found, CAST(w.op AS INTEGER) AS op, w.seq, CASE WHEN w.op <> 2 THEN w.val END AS val FROM k LEFT JOIN w ON w.key = k.key"""
+)
 def segment_lookup(log, n):
-    own = _segmented(log, n).where("segment_id = 2 and op <> 3")
-    return newest(own).select("key", "op", "seq", F.when(F.col("op") == DELETE, "tombstone").otherwise("value").alias("found"))
+    return scan.lookup(_segmented(log, n).where("segment_id = 2"), read(log)[0].select("key").distinct())
 
 
 _MARK = f"(3 * ({N} // 8))"
@@ -533,7 +537,7 @@ def archive_refusals(log, n):
 
 @query(view_sql() + " SELECT count(*) AS entries, CAST(sum(length(key) + length(val)) AS BIGINT) AS bytes FROM v")
 def scan_checksum(log, n):
-    return resolve(log).agg(F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("key") + F.octet_length("val")).alias("bytes"))
+    return scan.checksum(resolve(log))
 
 
 #: The table of CRC-32 by its rule, eight steps for each byte.
@@ -576,6 +580,14 @@ def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_RECORDS.replace("{DIV}", "div").replace("FROM events", "FROM {e}"), e=events)
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as stored: key, the value's bytes, wrong for one event in 97, and where each lies, 1,000 events a segment."""
+    rows = records_of(spark, sf_dir).withColumn("key", recorder_key(F.col("tick"), F.col("kind"), F.col("id")))
+    wrong = F.expr("event_id % 97 = 0")
+    own = value_of(F.when(wrong, F.concat("key", "key")).otherwise(F.col("key")))
+    return rows.withColumns({"stored": own, "segment_id": F.expr("event_id div 1000"), "pos": F.col("event_id")}).drop("intact")
+
+
 def _now(spark: SparkSession, sf_dir: str) -> int:
     return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] // 5
 
@@ -617,18 +629,54 @@ def live_traces(spark, sf_dir):
     return recorder.trace_counts(records_of(spark, sf_dir), _now(spark, sf_dir))
 
 
+_ORDERED = """o AS (SELECT count(*) AS out_of_order FROM (SELECT tick, kind, id, lag(tick) OVER w AS t, lag(kind) OVER w AS k, lag(id) OVER w AS i FROM r WINDOW w AS (PARTITION BY event_id // 1000 ORDER BY event_id)) x
+ WHERE t IS NOT NULL AND (tick < t OR tick = t AND (kind < k OR kind = k AND id <= i)))"""
+
+
 @table_query(
-    f"""{_R}, {_BITS.replace("FROM r GROUP", "FROM r WHERE kind = 'r' GROUP")}, k AS (SELECT {_CLASS} AS c FROM c)
+    f"""{_R}, {_BITS.replace("FROM r GROUP", "FROM r WHERE kind = 'r' GROUP")}, k AS (SELECT {_CLASS} AS c, bit_count(bits & 15) AS n FROM c), {_ORDERED}
  SELECT count(*) AS entries, CAST(sum(CASE WHEN kind='r' THEN 1 ELSE 0 END) AS BIGINT) AS readings, CAST(sum(CASE WHEN kind='e' THEN 1 ELSE 0 END) AS BIGINT) AS events, CAST(sum(CASE WHEN kind='t' THEN 1 ELSE 0 END) AS BIGINT) AS traces, CAST(sum(CASE WHEN intact THEN 0 ELSE 1 END) AS BIGINT) AS bad_values,
- (SELECT count(*) FROM k WHERE c = 'whole') AS whole, (SELECT count(*) FROM k WHERE c = 'split') AS split, (SELECT count(*) FROM k WHERE c = 'torn') AS torn FROM r"""
+ (SELECT count(*) FROM k WHERE c = 'whole') AS whole, (SELECT count(*) FROM k WHERE c = 'split') AS split, (SELECT count(*) FROM k WHERE c = 'torn') AS torn,
+ (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM k WHERE c = 'split') AS split_readings, (SELECT out_of_order FROM o) AS out_of_order, true AS sound FROM r"""
 )
 def integrity_report(spark, sf_dir):
-    return recorder.integrity(records_of(spark, sf_dir))
+    return recorder.integrity(stored_records(spark, sf_dir))
+
+
+@table_query(f"{_R}, {_ORDERED} SELECT * FROM o")
+def order_check(spark, sf_dir):
+    return recorder.out_of_order(stored_records(spark, sf_dir))
 
 
-@table_query(f"{_R} SELECT tick, id, val, intact FROM r WHERE kind = 'r' AND tick = 7 AND id = 2")
+#: The value that belongs to a recorder's key: FNV-1a over its ten bytes, then the finalizer, in unsigned 128-bit arithmetic.
+_VALUE = f"""b AS (SELECT *, list_concat(list_transform([56, 48, 40, 32, 24, 16, 8, 0], lambda x: ((tick >> x) & 255)::UHUGEINT), [ascii(kind)::UHUGEINT, id::UHUGEINT]) AS bytes FROM r),
+ f AS (SELECT *, list_reduce(list_concat([14695981039346656037::UHUGEINT], bytes), lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % {_M64}) AS h FROM b),
+ g AS (SELECT * REPLACE ((xor(h, h // 8589934592::UHUGEINT) * 18397679294719823053::UHUGEINT) % {_M64} AS h) FROM f),
+ u AS (SELECT * REPLACE (xor(h, h // 8589934592::UHUGEINT) AS h) FROM g)"""
+_LITTLE = " || ".join(f"printf('%02X', CAST((h // {256**i}::UHUGEINT) % 256 AS BIGINT))" for i in range(8))
+
+
+@table_query(f"{_R}, {_VALUE} SELECT event_id, tick, kind, id, {_LITTLE} AS value, round(15 + CAST(h % 2000 AS DOUBLE) / 100, 2) AS celsius FROM u")
+def key_values(spark, sf_dir):
+    rows = records_of(spark, sf_dir).withColumn("value", value_of(recorder_key(F.col("tick"), F.col("kind"), F.col("id"))))
+    return rows.select("event_id", "tick", "kind", "id", F.hex("value").alias("value"), F.round(temperature(F.col("value")), 2).alias("celsius"))
+
+
+@table_query(f"{_R}, {_VALUE} SELECT tick, id, round(15 + CAST(h % 2000 AS DOUBLE) / 100, 2) AS celsius, intact FROM u WHERE kind = 'r' AND tick = 7 AND id = 2")
 def one_reading(spark, sf_dir):
-    return records_of(spark, sf_dir).where("kind = 'r' and tick = 7 and id = 2").select("tick", "id", "val", "intact")
+    return recorder.reading(stored_records(spark, sf_dir), 7, 2)
+
+
+@table_query(
+    f"""{_R}, {LOG_SQL}, {_SEGMENTS}, l AS (SELECT CAST(segment_id % 2 AS VARCHAR) || ':' || count(*) AS x FROM m GROUP BY segment_id % 2)
+ SELECT (SELECT count(*) FROM log WHERE seq > 7 * ({N} // 8)) AS replayed, {N} AS max_seq, CAST(3 AS BIGINT) AS boots, (SELECT min(tick) FROM r) AS oldest, (SELECT max(tick) FROM r) AS newest,
+ (SELECT count(*) FROM m) AS segments, (SELECT CAST(sum(entry_count) AS BIGINT) FROM m) AS entries, (SELECT string_agg(x, ',' ORDER BY x) FROM l) AS levels"""
+)
+def database_summary(spark, sf_dir):
+    log, n = log_of(spark, sf_dir)
+    segments = _manifest(log, n).withColumn("level", F.expr("segment_id % 2"))
+    boots = spark.createDataFrame([(b"\x03" + bytes(7),)], "val binary")
+    return recorder.summary(records_of(spark, sf_dir), segments, log.where(F.col("seq") > 7 * (n // 8)), n, boots)
 
 
 @table_query(f"{_R} SELECT min(tick) AS oldest, max(tick) AS newest FROM r")
@@ -687,14 +735,14 @@ def read_seq(spark, sf_dir):
     return resolve(_orders(spark, sf_dir), tombstones="none")
 
 
-@table_query(f"{_O} SELECT key, val, seq, row_number() OVER (ORDER BY key DESC) AS rank FROM w WHERE key <= '0000000000000500'")
+@table_query(f"{_O} SELECT key, val, seq, row_number() OVER (ORDER BY key DESC) AS rank FROM w")
 def read_reverse(spark, sf_dir):
-    return with_rank(scan.reverse_scan(resolve(_orders(spark, sf_dir), tombstones="none"), "0000000000000500"), reverse=True)
+    return with_rank(scan.reverse_scan(resolve(_orders(spark, sf_dir), tombstones="none")), reverse=True)
 
 
-@table_query(f"{_O}, k AS (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR),16,'0') AS key FROM customer WHERE c_custkey % 3 = 0) SELECT k.key, w.val, w.seq, w.key IS NOT NULL AS found FROM k LEFT JOIN w ON w.key = k.key")
+@table_query(f"{_O}, k AS (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR),16,'0') AS key FROM customer) SELECT k.key, w.val, w.seq, w.key IS NOT NULL AS found FROM k LEFT JOIN w ON w.key = k.key")
 def read_random(spark, sf_dir):
-    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").selectExpr("lpad(cast(c_custkey as string),16,'0') as key").distinct()
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("lpad(cast(c_custkey as string),16,'0') as key").distinct()
     return scan.multi_get(keys, _orders(spark, sf_dir), tombstones="none")
 
 
@@ -705,8 +753,59 @@ def delete_random(spark, sf_dir):
     return resolve(rows.union(gone), tombstones="none").agg(F.count(F.lit(1)).alias("entries"), F.sum("seq").alias("seqs"))
 
 
-@table_query(f"{_O}, p AS (SELECT DISTINCT lpad(CAST(c_custkey * 7 % 2000 AS VARCHAR),16,'0') AS probe FROM customer) SELECT p.probe, min(w.key) AS key FROM p LEFT JOIN w ON w.key >= p.probe GROUP BY p.probe")
+@table_query(f"{_O}, p AS (SELECT DISTINCT lpad(CAST(c_custkey * 7 AS VARCHAR),16,'0') AS probe FROM customer) SELECT p.probe, min(w.key) AS key FROM p LEFT JOIN w ON w.key >= p.probe GROUP BY p.probe")
 def seek_random(spark, sf_dir):
     """For many probes at once, the first key at or above each: one ordered pass of probes and keys in key ranges, not a join."""
-    probes = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("lpad(cast(c_custkey * 7 % 2000 as string),16,'0') as probe").distinct()
+    probes = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("lpad(cast(c_custkey * 7 as string),16,'0') as probe").distinct()
     return scan.seek_many(probes, resolve(_orders(spark, sf_dir), tombstones="none"))
+
+
+# workloads that write a store
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, new_path(spark, "store"))
+
+
+def _filled(store: Store, rows: DataFrame, epoch: int) -> Store:
+    """The store with one more group of rows (ticket, key, val), in ticket order."""
+    put = rows.select("ticket", F.lit(1).alias("op"), F.col("key").cast("binary").alias("key"), F.col("val").cast("binary").alias("val"), F.lit(0).cast("long").alias("expire_at"))
+    append_once(store, put, epoch, "fill")
+    return store
+
+
+def _text(view: DataFrame) -> DataFrame:
+    return view.select(F.col("key").cast("string").alias("key"), F.col("val").cast("string").alias("val"), "seq")
+
+
+_FILLED = "WITH o AS (SELECT row_number() OVER (ORDER BY {order}) AS seq, lpad(CAST(o_custkey AS VARCHAR),16,'0') AS key, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS val FROM orders), w AS (SELECT key, arg_max(val, seq) AS val, max(seq) AS seq FROM o GROUP BY key)"
+
+
+@table_query(_FILLED.format(order="o_orderkey") + " SELECT * FROM w")
+def fill_seq(spark, sf_dir):
+    """Orders written in their order, flushed, and read back."""
+    store = _filled(_store(spark), _orders(spark, sf_dir).withColumn("ticket", F.col("seq")), 0)
+    store.flush()
+    return _text(store.view())
+
+
+@table_query(_FILLED.format(order="md5(CAST(o_orderkey AS VARCHAR)), o_orderkey") + " SELECT * FROM w")
+def fill_random(spark, sf_dir):
+    """Orders written in the order of a hash."""
+    ticket = F.struct(F.md5((F.col("seq") - 1).cast("string").cast("binary")), "seq")
+    return _text(_filled(_store(spark), _orders(spark, sf_dir).withColumn("ticket", ticket), 0).view())
+
+
+@table_query(_FILLED.format(order="o_orderkey % 4, o_orderkey") + ", n AS (SELECT count(*) AS n FROM orders) SELECT key, val, seq, (SELECT n FROM n) + 1 AS range_seq FROM w WHERE key < '0000000000000100' OR key >= '0000000000000200'")
+def compact_store(spark, sf_dir):
+    """Orders written in four groups, each flushed, then a range of keys deleted, and all compacted into several segments."""
+    store = Store(spark, new_path(spark, "store"), segment_rows=5_000)
+    rows = _orders(spark, sf_dir).withColumn("ticket", F.col("seq"))
+    for part in range(4):
+        _filled(store, rows.where(f"(seq - 1) % 4 = {part}"), part).flush()
+    seq = store.write(Batch().delete_range(b"0000000000000100", b"0000000000000200"))
+    store.flush()
+    while store.compact_step():
+        pass
+    store.compact_all()
+    return _text(store.view()).withColumn("range_seq", F.lit(seq).cast("long"))

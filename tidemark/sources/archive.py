@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import OBJECT_NAME
 from ..plans.resolve import resolve
 from ..schema import DELETE, LATEST, LOG, RANGE_DELETE
 from .manifest import Conflict, Files
@@ -66,7 +67,7 @@ def refuses(store: Store, segment_id: int, mode: str = "conservative") -> bool:
 
 
 def object_name(segment_id: int) -> str:
-    return f"tables/{segment_id:010d}"
+    return OBJECT_NAME % segment_id
 
 
 @dataclass(frozen=True)
