@@ -13,6 +13,7 @@ through the library alone, text by text.
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 import json
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Entries of a worker's memory of words; when full, it is cut down to those of the texts at hand, so memory is bounded.
-WORDS = 500_000
+WORDS = 250_000
 #: Bytes of text taken together.
 STEP = 2 << 20
 
@@ -69,7 +70,7 @@ class ChunkTokenizer:
     def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_str(raw.decode())
+        self.raw = raw
         spec = json.loads(raw)
         self.quick = _cuts_words(spec)
         if not self.quick:
@@ -80,6 +81,13 @@ class ChunkTokenizer:
         self.table = _byte_table()
         self.words: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def whole(self):
+        """The complete tokenizer, made when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.raw.decode())
+
     def _learn(self, new: list[str], whole: list[bool]) -> None:
         """Encodes new words, those in whole chunks by the complete tokenizer."""
         collecting = gc.isenabled()
@@ -93,8 +101,9 @@ class ChunkTokenizer:
             cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
             self.words |= {w: raw[a:b] for w, a, b in zip(some, cut[:-1], cut[1:], strict=True)}
         rest = [w for w, x in zip(new, whole, strict=True) if x]
-        for w, got in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(got.ids, "<u4").tobytes()
+        if rest:
+            for w, got in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False), strict=True):
+                self.words[w] = np.array(got.ids, "<u4").tobytes()
         if collecting:
             gc.enable()
 
