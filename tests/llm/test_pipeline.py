@@ -137,3 +137,12 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none):
 def test_written_tables_can_be_dropped(spark):
     written(spark.range(3), "test")
     assert drop_written(spark) >= 1 and drop_written(spark) == 0
+
+
+def test_queries_leave_their_result_alone(spark):
+    from tidemark.llm import queries
+
+    for name in ("op2_simhash", "op6_mixing", "op10_warc"):
+        before = written_so_far()
+        got = queries.QUERIES[name](spark, SF)
+        assert written_so_far() == before + 1 and got.count() > 0

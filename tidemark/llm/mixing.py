@@ -90,7 +90,11 @@ def shares(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1
     """(doc_id, size, source_size, target, taken, copies, source) of every row of docs (doc_id, source, text).
 
     A null text has size 0; null sources are one source, the last; rows with equal
-    doc_id share their fate.  Sources without words have target 0.
+    doc_id, or with none, share their fate; a very long text is counted whole.
+    Sources without words have target 0.  An empty table gives one.  Reruns agree:
+    copies follow from doc_id, seed and the sources' sizes alone.  A copy beyond
+    the whole ones is a Bernoulli draw whose seed is chosen among DRAWS for its
+    source, that the source come nearest to its target.
     """
     sized, aims, n = plan(docs, share, weights, most, seed)
     out = _with_copies(sized, aims, n, seed)

@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fuzzyhash, html_text, langid, mixing, packing, sharding, simhash, token_files, vectors, warc
-from .shared import new_path
+from .shared import drop_written, new_path, written, written_so_far
 from .tokens import vocabulary
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _leaves_its_result(query: Query) -> Query:
+    """The query with its result in a table; the tables and files that it made on the way are deleted."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        since = written_so_far()
+        out = written(query(spark, sf_dir), query.__name__)
+        drop_written(spark, since, but_last=True)
+        return out
+
+    return run
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_leaves_its_result
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write(_table(spark, sf_dir, "documents"), path, vocabulary(), end_id=2)
     return token_files.read(spark, path)
 
 
+@_leaves_its_result
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
+@_leaves_its_result
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -31,14 +52,17 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(_table(spark, sf_dir, "documents"))
 
 
+@_leaves_its_result
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=4096)
 
 
+@_leaves_its_result
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_table(spark, sf_dir, "documents"), share=1.5, weights=(3, 1, 2), most=2.0)
 
 
+@_leaves_its_result
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -51,6 +75,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+@_leaves_its_result
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path, least_bytes=0)
