@@ -254,3 +254,36 @@ def test_summary(small):
     r = small.summary().first()
     assert (r.replayed, r.max_seq, r.boots, r.oldest, r.newest, r.segments, r.entries, r.levels[:2]) == (1, 4, 3, 7, 90, 1, 3, [1, 0])
     assert small.memtable().select(F.col("key").cast("string")).first()[0] == "x"
+
+
+def test_acknowledged_writes_outlive_crashes(spark, tmp_path, monkeypatch):
+    """Writes, flushes and compactions break off at any file operation; what was acknowledged is there, and no part of what was not."""
+    r = random.Random(6)
+    root = f"file://{tmp_path}/store"
+    rows, create = [], Files.create
+    for step in range(14):
+        store = Store(spark, root, segment_rows=40)  # opened anew after each crash
+        b, seq = random_batch(r, 40, 6), store.version().next_seq
+        fails = r.random() < 0.5
+
+        def broken(self, name, data, before=r.random() < 0.5):
+            if not before:
+                create(self, f"{name}.torn", data)
+            raise OSError("power is gone")
+
+        if fails:
+            monkeypatch.setattr(Files, "create", broken)
+        try:
+            if step % 3 == 2:
+                store.flush()
+                store.compact_all()
+            else:
+                store.write(b)
+                rows += rows_of(b, seq)
+            assert not fails or not len(b)
+        except OSError:
+            assert fails
+        finally:
+            monkeypatch.setattr(Files, "create", create)
+        again = Store(spark, root)
+        assert again.check() == [] and as_dict(again.view()) == model.view(rows)

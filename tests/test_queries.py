@@ -16,6 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = [
     "latest_view", "snapshot_timed_view", "point_get", "reverse_scan", "page_after", "covering_tombstones_sweep", "compacted_log", "rdel_coalesce", "batch_sequence", "diff_replica",
     "fingerprint_buckets", "lww_view", "archive_refusals", "loss_check", "gaps", "seek_random",
+    "as_of_watermarks", "segment_lookup", "outside_minima", "integrity_report", "order_check", "key_values", "database_summary", "fill_seq", "compact_store",
 ]
 
 

@@ -140,10 +140,11 @@ def version_ranks(log: DataFrame) -> DataFrame:
 
 
 def as_of(log: DataFrame, watermarks: list[int]) -> DataFrame:
-    """(watermark, key, op, seq): the newest version of every key at or below each of a few watermarks."""
-    marks = log.sparkSession.createDataFrame([(int(w),) for w in watermarks], "watermark long")
-    points = log.where("op <> 3 and seq > 0").join(F.broadcast(marks), F.col("seq") <= F.col("watermark"))
-    return points.groupBy("watermark", "key").agg(F.max_by(F.struct("op", "seq"), "seq").alias("v")).select("watermark", "key", "v.op", "v.seq")
+    """(watermark, key, op, seq): the newest version of every key at or below each of a few watermarks, in one aggregation."""
+    row = F.struct("op", "seq")
+    picks = [F.struct(F.lit(int(w)).cast("long").alias("watermark"), F.max_by(row, F.when(F.col("seq") <= w, F.col("seq"))).alias("v")) for w in watermarks]
+    found = log.where("op <> 3 and seq > 0").groupBy("key").agg(F.array(*picks).alias("_all"))
+    return found.select("key", F.explode("_all").alias("_one")).where("_one.v is not null").select("_one.watermark", "key", "_one.v.op", "_one.v.seq")
 
 
 def checksum(view: DataFrame) -> DataFrame:
