@@ -78,13 +78,16 @@ def test_links_join_what_brute_force_joins(spark, radius, block):
     assert _partition(names.items()) == expected
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, few):
     random.seed(3)
     links = [(random.randrange(400), random.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 2000 + i) for i in range(50)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b", few).collect()}
     expected = _roots(3000, links)
     assert got == {x: expected[x] for e in links for x in e if e[0] != e[1]}
-    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    odd = [(-5, 3), (None, 3), (7, 7), (3, -9), (8, None)]
+    assert {r.node: r.component for r in components(spark.createDataFrame(odd, "a long, b long"), "a", "b", few).collect()} == {-5: -9, 3: -9, -9: -9}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b", few).count() == 0
 
 
 def test_near_duplicates(spark, odd, none):

@@ -121,13 +121,13 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
             p[np.arange(n), y] -= 1
             p *= (weigh[y] / n)[:, None]
             hidden = np.maximum(pooled, 0)
-            grads = [np.zeros_like(f) for f in net.filters]
+            grads = [np.empty_like(f) for f in net.filters]
             back = (p @ net.dense[:-1].T) * (pooled > 0)
             rows, cols = np.repeat(np.arange(n), FILTERS), np.tile(np.arange(FILTERS), n)
             for i, w in enumerate(WIDTHS):
                 g = back[:, i * FILTERS : (i + 1) * FILTERS].ravel()
                 for j in range(w):
-                    np.add.at(grads[i][j], (x[rows, places[i].ravel() + j], cols), g)
+                    grads[i][j] = np.bincount(x[rows, places[i].ravel() + j] * FILTERS + cols, g, K * FILTERS).reshape(K, FILTERS)
             grads.append(np.concatenate([hidden.T @ p, p.sum(0, keepdims=True)]) + 1e-4 * net.dense)
             step += 1
             for k, (q, g) in enumerate(zip(params, grads, strict=True)):

@@ -16,6 +16,8 @@ from .tokens import forget
 
 #: Rows of a side that may be broadcast once they have been counted.
 BROADCAST_ROWS = 100_000
+#: Edges, about 16 bytes each, whose components one task finds.
+FEW_EDGES = 200_000
 #: Rows per bucket when rows are numbered without gaps.
 BUCKET_ROWS = 20_000
 
@@ -125,16 +127,43 @@ def sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column], row
     return within.join(small_or_shuffled(base, parts), "_range").withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_range", *[f"_{k}" for k in sums])
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def joined(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least place connected with each of n places by the links (x, y)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def components(edges: DataFrame, a: str, b: str, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of undirected edges of longs: (node, component), the component named by its smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until a
     step changes nothing.  Every step is two aggregations over edges, each in a
-    table of its own, so no component is ever in one task or on the driver.
+    table of its own, so no component is ever in one task or on the driver.  At
+    most `few` edges, counted, are joined by one task instead: the same result
+    without so many steps.
     """
     spark = edges.sparkSession
     before = written_so_far()
     now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
+    if now.count() <= few:
+
+        def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            if columns:
+                u, v = (np.concatenate(x) for x in zip(*columns, strict=True))
+                nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)  # ascending, so the least place is the smallest node
+                label = joined(len(nodes), at[: len(u)], at[len(u) :])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+        return now.select("u", "v").coalesce(1).mapInArrow(tidy(inside), "node long, component long")
     state = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
@@ -160,4 +189,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-__all__ = ["BROADCAST_ROWS", "components", "drop", "drop_written", "groups", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "sums_before", "tidy", "written", "written_so_far"]
+__all__ = ["BROADCAST_ROWS", "components", "drop", "drop_written", "groups", "joined", "map_arrow", "new_path", "numbered", "shared_folder", "slices", "small_or_shuffled", "spread", "sums_before", "tidy", "written", "written_so_far"]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import components, groups, map_arrow, spread, tidy, written
+from .shared import components, groups, joined, map_arrow, spread, tidy, written
 
 TABLE_RECALL, COUNT_RECALL = 0.995, 0.9995
 #: Classes in a cell, projections counted, half-width of a window in units of the threshold's distance, and in steps of a sketch.
@@ -151,20 +151,6 @@ def _verified(t: int, same: bool, a: dict, b: dict, least: int, threshold: float
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _joined(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The least place connected with each of n places by the links (x, y)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding; other columns are ignored).
 
@@ -246,15 +232,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 7) -
                 continue
             n = np.bincount(x, w[y], len(rep)) + np.bincount(y, w[x], len(rep))
             least_rep = np.full(len(rep), np.iinfo(np.int64).max)
-            label = _joined(len(rep), x, y)
+            label = joined(len(rep), x, y)
             np.minimum.at(least_rep, label, rep)
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(n[some].astype(np.int64)), pa.array(least_rep[label[some]])], ["rep", "n", "root"])
 
     found = written(in_blocks(sent).mapInArrow(tidy(compare), "rep long, n long, root long"), "vectors-links")
-    joined = components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
+    component = components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
     linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = classes.select("digest", "rep", "w").join(linked, "rep", "left").join(joined, "rep", "left")
+    named = classes.select("digest", "rep", "w").join(linked, "rep", "left").join(component, "rep", "left")
     named = written(named.select("digest", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vectors-named")
     out = rows.select("vec_id", "digest").join(named, "digest", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
