@@ -287,3 +287,29 @@ def test_acknowledged_writes_outlive_crashes(spark, tmp_path, monkeypatch):
             monkeypatch.setattr(Files, "create", create)
         again = Store(spark, root)
         assert again.check() == [] and as_dict(again.view()) == model.view(rows)
+
+
+def test_cold_segments_are_swept_out_and_read_from_the_archive(spark, small, tmp_path):
+    out = Files(spark, f"file://{tmp_path}/archive")
+    for first in (0, 10, 90):
+        b = Batch()
+        for i in range(first, first + 5):
+            b.put(key(i), b"v")
+        small.write(b)
+        small.flush()
+    small.write(Batch().delete(key(90)))  # hides a key of the third segment, which stays: so must this one
+    hiding = small.flush()
+    assert archive.sweep(small, out, key(91)) == [1, 2]
+    assert {s.segment_id for s in small.version().segments} == {3, hiding.segment_id}
+    assert {bytes(r.key) for r in archive.archived(small, out).collect()} == {key(i) for i in [*range(5), *range(10, 15)]}
+    other = Store(spark, f"file://{tmp_path}/other")
+    assert archive.ship(small, out, other, 3) and not archive.ship(small, out, other, 3)
+    assert set(as_dict(other.view())) == {key(i) for i in range(90, 95)} and key(90) not in as_dict(small.view())
+
+
+def test_vacuum_leaves_the_last_versions(small):
+    for i in range(6):
+        small.write(Batch().put(key(i), b"v"))
+    small.flush()
+    view = as_dict(small.view())
+    assert small.vacuum(versions=2) >= 6 and len(small.files.names("manifest")) == 2 and as_dict(small.view()) == view

@@ -809,3 +809,42 @@ def compact_store(spark, sf_dir):
         pass
     store.compact_all()
     return _text(store.view()).withColumn("range_seq", F.lit(seq).cast("long"))
+
+
+_VALID = "t AS (SELECT row_number() OVER (ORDER BY seq) AS seq, op, key, val, expire_at FROM log WHERE NOT (op = 3 AND key >= val))"
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of the derived log: two sealed segments and the rest unsealed."""
+    log, n = log_of(spark, sf_dir)
+    store = _store(spark)
+    rows = log.select(F.col("seq").alias("ticket"), "op", F.col("key").cast("binary").alias("key"), F.col("val").cast("binary").alias("val"), "expire_at")
+    for part, where in enumerate((f"ticket <= {n // 2}", f"ticket > {n // 2} and ticket <= {3 * n // 4}", f"ticket > {3 * n // 4}")):
+        append_once(store, rows.where(where), part, "log")
+        if part < 2:
+            store.flush()
+    return store
+
+
+@table_query(f"WITH {LOG_SQL}, {_VALID} SELECT seq, op, key, val, expire_at, CASE WHEN seq <= (SELECT count(*) FROM log WHERE seq <= {HALF} AND NOT (op = 3 AND key >= val)) THEN 1 WHEN seq <= (SELECT count(*) FROM log WHERE seq <= (SELECT 3 * n // 4 FROM n) AND NOT (op = 3 AND key >= val)) THEN 2 END::BIGINT AS segment_id FROM t")
+def version_stream(spark, sf_dir):
+    """All versions that a store holds, deletions included, and the segment of each."""
+    return _logged(spark, sf_dir).log().select("seq", "op", F.col("key").cast("string").alias("key"), F.col("val").cast("string").alias("val"), "expire_at", "segment_id")
+
+
+@table_query(
+    f"""WITH {LOG_SQL}, {_VALID}, s AS (SELECT *, CASE WHEN seq <= (SELECT count(*) FROM log WHERE seq <= {HALF} AND NOT (op = 3 AND key >= val)) THEN 1 WHEN seq <= (SELECT count(*) FROM log WHERE seq <= (SELECT 3 * n // 4 FROM n) AND NOT (op = 3 AND key >= val)) THEN 2 END::BIGINT AS segment_id FROM t)
+ SELECT segment_id, 0 AS level, lower(hex(min(key))) AS first_key, lower(hex(max(CASE WHEN op = 3 THEN val ELSE key END))) AS last_key, min(seq) AS min_seq, max(seq) AS max_seq, count(*) AS entry_count, count(CASE WHEN op = 3 THEN 1 END) AS rdel_count FROM s WHERE segment_id IS NOT NULL GROUP BY segment_id"""
+)
+def segment_inventory(spark, sf_dir):
+    return _logged(spark, sf_dir).segments().select("segment_id", "level", "first_key", "last_key", "min_seq", "max_seq", "entry_count", "rdel_count")
+
+
+@query(f"g AS (SELECT *, (seq - 1) // 5 AS batch FROM log WHERE seq % 35 <> 0 AND seq % 77 <> 3), l2 AS (SELECT * FROM g WHERE batch IN (SELECT batch FROM g GROUP BY 1 HAVING count(*) = 5)), {view_sql(src='l2')} SELECT * FROM v")
+def store_replay(log, n):
+    """A log that another process left, with torn groups, taken over by a store."""
+    rows = log.where("seq % 35 <> 0 and seq % 77 <> 3").withColumns({"batch_id": F.expr("(seq - 1) div 5"), "pos": F.expr("(seq - 1) % 5"), "closes": F.expr("(seq - 1) % 5 = 4")})
+    store = _store(log.sparkSession)
+    store.replay(rows.withColumns({"key": F.col("key").cast("binary"), "val": F.col("val").cast("binary")}))
+    store.flush()
+    return _text(store.view())

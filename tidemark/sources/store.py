@@ -358,8 +358,8 @@ class Store:
         self.swap(v, tuple(inputs), tuple(made), max([v.next_segment, *(s.segment_id + 1 for s in made)]))
         return made
 
-    def vacuum(self) -> int:
-        """Deletes files that the latest version does not name; only when nobody reads an older one."""
+    def vacuum(self, versions: int = 10) -> int:
+        """Deletes files that the latest version does not name, and all but the last few versions; only when nobody reads an older one."""
         v = self.version()
         named = {"/".join(s.path.split("/")[:2]) for s in v.segments} | set(v.unsealed)
         gone = 0
@@ -367,6 +367,9 @@ class Store:
             for name in self.files.names(folder):
                 if f"{folder}/{name}" not in named:
                     gone += self.files.delete(f"{folder}/{name}")
+        for name in self.files.names(manifest.MANIFEST):
+            if name.endswith(".tmp") or name < f"{v.number - versions + 1:010d}":
+                gone += self.files.delete(f"{manifest.MANIFEST}/{name}")
         return gone
 
     # statistics
