@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import drop, drop_written, new_path, shared_folder, written, written_so_far
+from ..plans import scratch
+from ..plans.scratch import drop, drop_written, new_path, shared_folder, written_so_far
 from .tokens import forget
 
 #: Rows of a side that may be broadcast once they have been counted.
@@ -22,6 +23,21 @@ FEW_EDGES = 200_000
 BUCKET_ROWS = 20_000
 
 
+#: Rows of an Arrow batch, which the JVM and a worker hold whole: texts are long.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, see scratch.written; on the way, Arrow batches have at most BATCH_ROWS rows."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        return scratch.written(df, name)
+    finally:
+        conf.set(_BATCH, before)
+
+
 def spread(df: DataFrame, least: int = 0) -> int:
     """How many partitions to deal rows to."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

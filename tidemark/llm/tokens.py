@@ -26,7 +26,7 @@ from pyspark.sql import SparkSession
 #: Entries of a worker's memory of words; when full, it is cut down to those of the texts at hand, so memory is bounded.
 WORDS = 250_000
 #: Bytes of text taken together.
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 #: The rules that the quick way follows: texts are composed and lower-cased, words are what this pattern finds, spelled byte by byte.
@@ -125,7 +125,7 @@ class ChunkTokenizer:
         cut = inside.copy()
         cut[1:] &= (cls[1:] != cls[:-1]) | (cls[1:] == DIGIT) | first[1:]
         if odd.any():
-            chunk = np.cumsum(opens) - 1
+            chunk = np.cumsum(opens, dtype=np.int32) - 1
             strange = np.zeros(int(opens.sum()), bool)
             strange[chunk[odd]] = True
             kept = inside & strange[np.maximum(chunk, 0)]
@@ -135,7 +135,7 @@ class ChunkTokenizer:
             kept = np.zeros(len(raw), bool)
         at = np.flatnonzero(cut)
         letters = low[inside]
-        place = np.cumsum(inside) - inside
+        place = np.cumsum(inside, dtype=np.int32) - inside
         offsets = np.append(place[at], len(letters)).astype("<i4")
         words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes()))
         return words, kept[at], np.diff(np.append(np.searchsorted(at, starts), len(at)))
