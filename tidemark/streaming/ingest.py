@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators.bins import with_rank
 from ..plans.groups import complete
 from ..plans.scratch import drop_written, written, written_so_far
-from ..schema import LOG, checked
+from ..schema import LOG, faults
 from ..sources.manifest import Conflict
 from ..sources.store import Store
 
@@ -35,20 +35,21 @@ def append_once(store: Store, rows: DataFrame, epoch: int, source: str = "stream
         return v.next_seq - 1
     name = f"{source}-{epoch:012d}"
     store.files.delete(f"log/{name}")  # of an attempt that was not committed
-    since = written_so_far()
-    one = rows.groupBy("ticket").agg(F.min(F.struct("op", "key", "val", "expire_at")).alias("o")).select("ticket", "o.*")
-    one = written(one, "epoch")
-    top = one.agg(F.max("ticket")).first()[0]
-    good, bad = checked(one.where(F.col("op") != DEAD).withColumn("seq", F.lit(1).cast("long")))
-    if rejects and bad.limit(1).count():
-        bad.drop("seq").write.mode("append").parquet(rejects)
-    n = good.count()
-    ranked = with_rank(good.drop("seq"), "at", column="ticket")
-    numbered = ranked.select((F.lit(v.next_seq - 1) + F.col("at")).cast("long").alias("seq"), "op", "key", "val", "expire_at")
-    whole = {"batch_id": F.lit(v.next_seq).cast("long"), "node_id": F.lit(node_id).cast("long"), "seal_wall": F.lit(0).cast("long"), "segment_id": F.lit(None).cast("long")}
-    tickets = {source: int(top)} if isinstance(top, int) else {}
-    store.append(numbered.withColumns(whole).select([f.name for f in LOG]), n, v, name, {source: epoch}, tickets)
-    drop_written(store.spark, since)
+    since, dead = written_so_far(), F.col("op").eqNullSafe(F.lit(DEAD))
+    try:
+        one = rows.groupBy("ticket").agg(F.min(F.struct("op", "key", "val", "expire_at")).alias("o")).select("ticket", "o.*")
+        one = written(one.withColumn("seq", F.lit(1).cast("long")).withColumn("fault", F.when(~dead, faults())), "epoch")
+        lives = F.col("fault").isNull() & ~dead
+        top, n, n_bad = one.agg(F.max("ticket"), F.count(F.when(lives, 1)), F.count("fault")).first()
+        if rejects and n_bad:
+            one.where("fault is not null").drop("seq").write.mode("append").parquet(rejects)
+        ranked = with_rank(one.where(lives).drop("seq", "fault"), "at", column="ticket")
+        numbered = ranked.select((F.lit(v.next_seq - 1) + F.col("at")).cast("long").alias("seq"), "op", "key", "val", "expire_at")
+        whole = {"batch_id": F.lit(v.next_seq).cast("long"), "node_id": F.lit(node_id).cast("long"), "seal_wall": F.lit(0).cast("long"), "segment_id": F.lit(None).cast("long")}
+        tickets = {source: int(top)} if isinstance(top, int) else {}
+        store.append(numbered.withColumns(whole).select([f.name for f in LOG]), n, v, name, {source: epoch}, tickets)
+    finally:
+        drop_written(store.spark, since)
     return store.version().next_seq - 1
 
 
