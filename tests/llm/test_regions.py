@@ -41,6 +41,7 @@ def test_clusters_choose_among_all_regions(html, text):
         # comments are longer than the article
         (f'<article><p>{LONG}</p></article><div id="comments">{"".join(f"<p>{TWO}</p>" for _ in range(30))}</div>', LONG),
         (f'<article><p>{LONG}</p><div class="comments"><p>{TWO}</p></div><div class="cookie-notice"><p>{TWO}</p></div></article>', LONG),
+        (f'<div class="post comments-open no-sidebar"><p>{LONG}</p></div><div class="comments-area">{"".join(f"<p>{TWO}</p>" for _ in range(9))}</div>', LONG),
         # one inside the other, and side by side
         (f"<main><p>Intro of some length for a start.</p><article><p>{LONG}</p></article><p>Outro of some length for an end.</p></main>", f"Intro of some length for a start. {LONG} Outro of some length for an end."),
         (f'<body><div class="entry"><p>{LONG}</p></div><div class="entry"><p>{TWO}</p></div></body>', f"{LONG} {TWO}"),

@@ -54,7 +54,7 @@ MARKED = {sure: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-]|\d)") for sure,
 LEFT = 0.05
 PLACES = frozenset("a blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 #: Names that tell of furniture elsewhere.
-ELSEWHERE = re.compile(r"(?:^|\s)(?:has|with|no|without)-\S+")
+ELSEWHERE = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|no|without)-\S+|\S+-(?:open|closed|enabled|disabled|on|off))(?=\s|$)")
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|article-?body|post-?body|maintext)(?:$|[\s_-])")
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An element of these ends at the next one of its set.
