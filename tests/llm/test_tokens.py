@@ -109,6 +109,18 @@ def test_token_files(spark, odd, none, tok):
     assert token_files.read(spark, path).count() == 0
 
 
+def test_rows_without_ids_are_parted(spark):
+    rows = [(None, f"word{i} again") for i in range(400)] + [(5, f"other{i}") for i in range(50)] + [(9, "last")]
+    path = new_path(spark, "t")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, vocabulary(), 2)
+    got = token_files.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 400 + [5] * 50 + [9] and len({r.part for r in got if r.doc_id is None}) > 1
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_export(spark, odd, tmp_path):
     path = new_path(spark, "t")
     token_files.write(odd, path, vocabulary(), 2)

@@ -93,10 +93,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, file_ids: in
     """Encodes docs (doc_id, text; other columns are ignored) and writes token-id files to path.
 
     A null text counts as empty; each document's ids end with end_id.  Rows with
-    equal doc_id follow each other by text.  An empty table gives no file.
+    equal doc_id, or with none, follow each other by a hash of their text, so that
+    ranges can part them however many they are.  A very long text is encoded
+    whole.  An empty table gives no file.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(spread(docs), "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     shipped = Shipped(docs.sparkSession, vocabulary)
