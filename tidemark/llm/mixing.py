@@ -42,11 +42,13 @@ def targets(by_source: DataFrame, share: float, weights: tuple[int, ...], most:
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
     capped = ranked.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("w"))
     filled = sums_before(capped, [F.col("ratio"), F.col("i")], {"caps": F.col("cap"), "ws": F.col("w")}, n, "mix-levels")
-    whole = capped.agg(F.sum("source_size").alias("all_sizes"), F.sum("w").alias("all_ws"))  # one row
-    level = (F.lit(float(share)) * F.col("all_sizes") - F.col("caps")) / (F.col("all_ws") - F.col("ws"))
-    levels = filled.crossJoin(F.broadcast(whole)).withColumn("level", level)
-    chosen = levels.where("level <= ratio").agg(F.min_by("level", F.struct("ratio", "i")).alias("chosen"))  # one row
-    return capped.crossJoin(F.broadcast(chosen)).select("source", "source_size", F.least("cap", F.coalesce(F.col("chosen") * F.col("w"), F.col("cap"))).alias("target"))
+    sizes, ws = capped.agg(F.sum("source_size"), F.sum("w")).first()
+    if sizes is None:
+        return by_source.select("source", "source_size", F.lit(0.0).alias("target"))
+    levels = filled.withColumn("level", (F.lit(float(share)) * F.lit(sizes) - F.col("caps")) / (F.lit(ws) - F.col("ws")))
+    level = levels.where("level <= ratio").agg(F.min_by("level", F.struct("ratio", "i"))).first()[0]
+    target = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("w"))
+    return capped.select("source", "source_size", target.alias("target"))
 
 
 def draws(doc_id: Column, seed: int) -> list[Column]:
