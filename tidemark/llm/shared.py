@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import scratch
-from ..plans.scratch import drop, drop_written, new_path, shared_folder, written_so_far
+from ..plans.scratch import drop, drop_written, new_path, shared_folder, written, written_so_far
 from .tokens import forget
 
 #: Rows of a side that may be broadcast once they have been counted.
@@ -23,21 +22,10 @@ FEW_EDGES = 200_000
 BUCKET_ROWS = 20_000
 
 
-#: Rows of an Arrow batch, which the JVM and a worker hold whole: texts are long.
+#: Rows of an Arrow batch at most, which the JVM and a worker hold whole: texts are long.
 BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, see scratch.written; on the way, Arrow batches have at most BATCH_ROWS rows."""
-    conf = df.sparkSession.conf
-    before = conf.get(_BATCH)
-    conf.set(_BATCH, str(BATCH_ROWS))
-    try:
-        return scratch.written(df, name)
-    finally:
-        conf.set(_BATCH, before)
-
-
 def spread(df: DataFrame, least: int = 0) -> int:
     """How many partitions to deal rows to."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -65,7 +53,14 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], toke
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, tokens: bool = False) -> DataFrame:
-    """mapInArrow with batches of at most a few MB: f gets slices, however long the texts are; see tidy."""
+    """mapInArrow with batches of at most a few MB: f gets slices, however long the texts are; see tidy.
+
+    The plan may run at any time, so the session's Arrow batches are bounded from
+    now on, to BATCH_ROWS rows; results do not depend on it.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return f(x for b in batches for x in slices(b))
