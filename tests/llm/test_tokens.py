@@ -41,11 +41,20 @@ def test_other_vocabularies_go_through_the_library(tok):
 
 
 def test_a_full_memory_changes_nothing(tok, monkeypatch):
-    monkeypatch.setattr("tidemark.llm.tokens.WORDS", 5)
+    monkeypatch.setattr("tidemark.llm.tokens.WORDS", 8)
     small = ChunkTokenizer(Path(vocabulary()).read_bytes())
     texts = pa.array(["one two three four five six", "seven one two eight nine ten"])
     for _ in range(3):
-        assert small.encode(texts)[0].tolist() == tok.encode(texts)[0].tolist()
+        assert small.encode(texts)[0].tolist() == tok.encode(texts)[0].tolist() and small.n <= 13
+    monkeypatch.setattr("tidemark.llm.tokens.LONG_CHARS", 100)
+    odd = pa.array(["日本語" * 30 + " don't", "x" * 90, "日本語" * 30])
+    for _ in range(2):
+        assert small.encode(odd)[0].tolist() == [i for x in tok.whole.encode_batch(odd.to_pylist(), add_special_tokens=False) for i in x.ids] and small.n_long <= 200
+    long = pa.array([" ".join("abcdefgh"[i % 8] * i for i in range(1, 90)), "x" * 31 + " " + "x" * 32 + " " + "x" * 33, "a\0 a b\0c"])
+    for _ in range(2):
+        ids, n = tok.encode(long)
+        assert [len(x.ids) for x in tok.whole.encode_batch(long.to_pylist(), add_special_tokens=False)] == n.tolist()
+        assert [i for x in tok.whole.encode_batch(long.to_pylist(), add_special_tokens=False) for i in x.ids] == ids.tolist()
 
 
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5, 5, 9, 1000, 1 << 40], list(range(0, 5000, 3)), [7] * 200])

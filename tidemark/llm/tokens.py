@@ -4,7 +4,9 @@ The vocabulary's pre-tokenizer cuts a text at white space and where letters,
 digits and other characters meet, so the ids of a text are the ids of its words
 in order.  numpy finds the cuts on the bytes of a whole batch, Arrow numbers the
 distinct words, each new word is encoded once per worker and remembered, and
-numpy gathers the ids: a text costs little more than its *new* words.  Chunks
+numpy gathers the ids: a text costs little more than its *new* words.  The memory
+is arrays: a word of up to 31 bytes is four 64-bit lanes, found by a hash of these
+and compared whole, so it takes about 60 bytes and no object of Python's.  Chunks
 between white space that hold anything but ASCII and the letters of U+00C0 to
 U+00FF, an apostrophe or the start of a special token stay whole and go through
 the complete tokenizer.  A vocabulary file with other rules of cutting is used
@@ -23,10 +25,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-#: Entries of a worker's memory of words; when full, it is cut down to those of the texts at hand, so memory is bounded.
-WORDS = 250_000
+#: Words that a worker remembers, their ids, and characters of words too long for lanes; when there are more, it begins anew, so memory is bounded.
+WORDS, IDS, LONG_CHARS = 600_000, 6_000_000, 8_000_000
 #: Bytes of text taken together.
 STEP = 1 << 20
+#: Bytes of a word that lie in lanes, one less than there are; the last holds the length.
+LANES, LONGEST = 4, 31
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 #: The rules that the quick way follows: texts are composed and lower-cased, words are what this pattern finds, spelled byte by byte.
@@ -79,7 +85,7 @@ class ChunkTokenizer:
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(spec))
         self.table = _byte_table()
-        self.words: dict[str, bytes] = {}
+        self._forget_words()
 
     @functools.cached_property
     def whole(self):
@@ -88,24 +94,86 @@ class ChunkTokenizer:
 
         return Tokenizer.from_str(self.raw.decode())
 
-    def _learn(self, new: list[str], whole: list[bool]) -> None:
-        """Encodes new words, those in whole chunks by the complete tokenizer."""
+    def _forget_words(self) -> None:
+        self.n = 1  # a place that no word has
+        self.hash, self.at = np.array([(1 << 64) - 1], np.uint64), np.zeros(1, np.int32)  # in the order of hash, where each word is
+        self.lanes = np.full((1024, LANES), (1 << 64) - 1, np.uint64)
+        self.start, self.size = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.ids, self.n_ids = np.zeros(4096, "<u4"), 0
+        self.long: dict[str, int] = {}
+        self.n_long = 0
+
+    def _learn(self, new: list[str], whole: np.ndarray) -> int:
+        """Encodes new words, those in whole chunks by the complete tokenizer, and gives them the next places; returns the first."""
         collecting = gc.isenabled()
         gc.disable()  # many small objects, none in a cycle
-        plain = [w for w, x in zip(new, whole, strict=True) if not x]
+        counts, parts = np.zeros(len(new), np.int32), []
+        plain = np.flatnonzero(~whole)
         for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            spelled = " ".join(some).encode().decode("latin-1").translate(self.table)
+            which = plain[i : i + 4096].tolist()
+            spelled = " ".join(new[k] for k in which).encode().decode("latin-1").translate(self.table)
             got = self.model.encode(spelled, add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
-            cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            self.words |= {w: raw[a:b] for w, a, b in zip(some, cut[:-1], cut[1:], strict=True)}
-        rest = [w for w, x in zip(new, whole, strict=True) if x]
+            parts.append(np.array(got.ids, "<u4"))
+            counts[which] = np.bincount(np.array(got.word_ids, np.int64), minlength=len(which))
+        rest = np.flatnonzero(whole).tolist()
         if rest:
-            for w, got in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(got.ids, "<u4").tobytes()
+            for k, got in zip(rest, self.whole.encode_batch([new[k] for k in rest], add_special_tokens=False), strict=True):
+                parts.append(np.array(got.ids, "<u4"))
+                counts[k] = len(got.ids)
         if collecting:
             gc.enable()
+        flat = np.concatenate(parts)
+        first, n, m = self.n, self.n + len(new), self.n_ids + len(flat)
+        if n > len(self.start):
+            room = max(n, 2 * len(self.start))
+            self.lanes, self.start, self.size = np.resize(self.lanes, (room, LANES)), np.resize(self.start, room), np.resize(self.size, room)
+        if m > len(self.ids):
+            self.ids = np.resize(self.ids, max(m, 2 * len(self.ids)))
+        self.ids[self.n_ids : m] = flat
+        order = np.concatenate([plain, np.array(rest, np.int64)])  # as they lie in flat
+        self.start[first + order] = self.n_ids + np.cumsum(counts[order]) - counts[order]
+        self.size[first:n] = counts
+        self.n, self.n_ids = n, m
+        return first
+
+    def _places(self, words: pa.Array, odd: np.ndarray) -> np.ndarray:
+        """Where the memory has each of these distinct words; new ones are learned."""
+        offsets = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1]
+        size = np.diff(offsets)
+        raw = np.zeros(int(offsets[-1]) + 8 * LANES + 8, np.uint8)
+        raw[: offsets[-1]] = np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]]
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+        lanes = np.empty((len(words), LANES), np.uint64)
+        for k in range(LANES):
+            lanes[:, k] = eight[offsets[:-1] + 8 * k] & _KEEP[np.clip(size - 8 * k, 0, 8)]
+        lanes[:, -1] |= size.astype(np.uint64) << np.uint64(56)
+        mixed = (lanes * _ODD).sum(1, dtype=np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD[0]
+        short = size <= LONGEST
+        found = np.minimum(np.searchsorted(self.hash, mixed), len(self.hash) - 1)
+        place = self.at[found]
+        known = short & (self.hash[found] == mixed) & (self.lanes[place] == lanes).all(1)
+        place = np.where(known, place, -1)
+        for i in np.flatnonzero(~short).tolist():
+            place[i] = self.long.get(words[i].as_py(), -1)
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place
+        if self.n > 1 and self.n + len(new) > WORDS:
+            self._forget_words()
+            return self._places(words, odd)
+        texts = words.take(pa.array(new)).to_pylist()
+        first = self._learn(texts, odd[new])
+        place[new] = first + np.arange(len(new))
+        self.lanes[first : self.n] = lanes[new]
+        kept = new[short[new]]
+        hashes, at = np.concatenate([self.hash, mixed[kept]]), np.concatenate([self.at, place[kept].astype(np.int32)])
+        order = np.argsort(hashes, kind="stable")
+        self.hash, self.at = hashes[order], at[order]
+        for k in place[new[~short[new]]].tolist():
+            self.long[texts[k - first]] = k
+            self.n_long += len(texts[k - first])
+        return place
 
     def _cut(self, raw: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The words of texts that begin at the given places of raw: the words, whether each is a whole chunk, and the number in each text."""
@@ -152,22 +220,18 @@ class ChunkTokenizer:
         if not len(words):
             return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
         coded = words.dictionary_encode()
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
-        odd = np.zeros(len(distinct), bool)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        odd = np.zeros(len(coded.dictionary), bool)
         odd[which[whole]] = True
-        if new := [i for i, w in enumerate(distinct) if w not in self.words]:
-            if len(self.words) + len(new) > WORDS:
-                self.words = {w: self.words[w] for w in distinct if w in self.words}
-            self._learn([distinct[i] for i in new], odd[new].tolist())
-        parts = list(map(self.words.__getitem__, distinct))
-        size = np.array(list(map(len, parts)), np.int64) >> 2
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        sizes = size[which]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[which] - (ends - sizes), sizes)
+        place = self._places(coded.dictionary, odd)[which]
+        sizes = self.size[place]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat(self.start[place] - (ends - sizes).astype(np.int32), sizes)
         before = np.concatenate(([0], ends))
-        return flat[at], np.diff(before[np.concatenate(([0], np.cumsum(n_words)))])
+        out = self.ids[at], np.diff(before[np.concatenate(([0], np.cumsum(n_words)))])
+        if self.n_ids > IDS or self.n_long > LONG_CHARS:
+            self._forget_words()
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each.  A null text is an empty one."""
