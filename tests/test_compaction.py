@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import threading
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tidemark import model
 from tidemark.schema import DELETE, PUT, RANGE_DELETE, Batch
 from tidemark.sources import archive
 from tidemark.sources.manifest import Conflict, Files, Segment, Version
-from tidemark.sources.store import Store
+from tidemark.sources.store import Line, Store
 from tidemark.streaming import ingest
 
 
@@ -313,3 +314,48 @@ def test_vacuum_leaves_the_last_versions(small):
     small.flush()
     view = as_dict(small.view())
     assert small.vacuum(versions=2) >= 6 and len(small.files.names("manifest")) == 2 and as_dict(small.view()) == view
+
+
+def test_segments_are_sized_by_what_survives(small):
+    for _ in range(4):
+        b = Batch(most=10_000)
+        for i in range(400):
+            b.put(key(i % 50), b"v")
+        small.write(b)
+        small.flush()
+    steps = 0
+    while small.compact_step():
+        steps += 1
+    v = small.version()
+    assert steps == 1 and len(v.segments) == 1 and v.segments[0].entry_count == 50 and small.check() == []
+    assert as_dict(small.view()) == {key(i): (b"v", 1201 + max(range(i, 400, 50))) for i in range(50)}
+
+
+def test_all_moves_before_a_rewrite_are_one_commit(small):
+    v = small.commit(Version(segments=tuple(segment(i, 1, 10 * i, 10 * i + 5) for i in range(100)), next_seq=10, next_segment=100))
+    assert small.compact_step() and not small.compact_step()
+    after = small.version()
+    assert after.number == v.number + 1 and [len(after.level(n)) for n in range(7)] == [0, 3, 3, 3, 3, 3, 85]
+    assert {replace(s, level=1) for s in after.segments} == set(v.segments)
+    # one that meets another of its level stays behind it, and so does what is in the way of another node
+    touching = [segment(i, 1, 10 * i, 10 * i + 10) for i in range(8)]
+    assert {s.segment_id for s in small.moving(Version(segments=tuple(touching)), 1)} == {0, 2, 4, 6}
+    foreign = segment(30, 2, 0, 35, node=7)
+    assert {s.segment_id for s in small.moving(Version(segments=(*v.segments[:8], foreign)), 1)} == {4, 5, 6, 7}
+    # under pressure, levels are emptied
+    tight = Store(small.spark, small.root, segment_rows=40, levels=4, most_segments=6)
+    assert {s.level for s in tight.moved(Version(segments=v.segments[:6])).segments} == {3}
+
+
+def test_lines_of_segments():
+    r = random.Random(8)
+    for _ in range(200):
+        some = []
+        for i in range(r.randrange(12)):
+            a = r.randrange(40)
+            some.append(segment(i, 1, a, a + r.randrange(6)))
+        line, a = Line(some), r.randrange(40)
+        low, high = key(a).hex(), key(a + r.randrange(6)).hex()
+        assert line.meeting(low, high) == sorted((s for s in some if s.overlaps(low, high)), key=lambda s: s.first_key)
+        left, right = [s.first_key for s in some if s.last_key < low], [s.first_key for s in some if s.first_key > high]
+        assert [s.first_key for s in line.beside(low, high)] == [*([max(left)] if left else []), *([min(right)] if right else [])]

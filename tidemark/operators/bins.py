@@ -9,6 +9,8 @@ from ..plans.scratch import written
 
 #: Keys sampled for the bounds, per range.
 SAMPLE_PER_BIN = 40
+#: Keys sampled for bounds that cut evenly, per range: a range is then within a fifth of its share, but for one in hundreds.
+SAMPLE_PER_CUT = 200
 #: Values looked at in one step of a search.
 FAN = 16
 
@@ -37,6 +39,19 @@ def sampled_bounds(keys: DataFrame, column: str = "key", bins: int | None = None
     return sorted({found[i * len(found) // bins] for i in range(1, bins)}) if found else []
 
 
+def even_bounds(rows: DataFrame, count: int, bins: int, column: str = "key") -> list:
+    """Ascending bounds that cut rows, so many of them, into about so many ranges of nearly equal numbers of rows.
+
+    Each row is drawn with the same chance, so no task sees more than its own.
+    """
+    if bins < 2:
+        return []
+    share = bins * SAMPLE_PER_CUT / count
+    keys = rows.select(column)
+    found = sorted(bytes(x) if isinstance(x, bytearray) else x for (x,) in (keys if share >= 1 else keys.sample(share, 1)).collect())
+    return sorted({found[i * len(found) // bins] for i in range(1, bins)}) if found else []
+
+
 def bin_of(key: Column, bounds: list, strict: bool = False) -> Column:
     """How many bounds are at or below a key, or below it."""
     return search(F.array(*[F.lit(b) for b in bounds]), len(bounds), key, strict) if bounds else F.lit(0)

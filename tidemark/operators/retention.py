@@ -50,16 +50,17 @@ def outside_clear(outside: DataFrame | None, node_id: int = 0, wall: int = 0):
     return below if r.foreign is None or (wall, node_id) < tuple(r.foreign) else F.lit(False)
 
 
-def compact(log: DataFrame, snapshots: list[int], purge_before: int = 0, bottommost: bool = True, outside: DataFrame | None = None, node_id: int = 0, wall: int = 0) -> DataFrame:
+def compact(log: DataFrame, snapshots: list[int], purge_before: int = 0, bottommost: bool = True, outside: DataFrame | None = None, node_id: int = 0, wall: int = 0, range_log: DataFrame | None = None) -> DataFrame:
     """The log rows that must survive, values expired before purge_before as deletions.
 
     log: seq, op, key, val, expire_at and any other columns.  bottommost: nothing
-    older than these rows is below them.  outside: see outside_clear.
+    older than these rows is below them.  outside: see outside_clear.  range_log:
+    where the range deletes are, if not in log.
     """
     floor = min([LATEST, *snapshots])
     clear = outside_clear(outside, node_id, wall)
     points = purge(log.where((F.col("op") != RANGE_DELETE) & (F.col("seq") > 0)), purge_before)
-    ranges = log.where((F.col("op") == RANGE_DELETE) & (F.col("seq") > 0) & (F.col("key") < F.col("val")))
+    ranges = (log if range_log is None else range_log).where((F.col("op") == RANGE_DELETE) & (F.col("seq") > 0) & (F.col("key") < F.col("val")))
     spans = ranges.select(F.col("key").alias("start"), F.col("val").alias("end"), "seq")
     kept = keep_set(points, snapshots)
     # a version that the oldest reader already sees covered is hidden from all

@@ -15,24 +15,29 @@ are one scan, whose rows name their segment; the manifest adds their origin.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import tick_of
 from ..operators import recorder, scan
-from ..operators.bins import bin_of, sampled_bounds
+from ..operators.bins import bin_of, even_bounds
 from ..operators.retention import compact
 from ..plans.groups import complete
 from ..plans.resolve import resolve
+from ..plans.scratch import drop, new_path
 from ..schema import LATEST, LOG, RANGE_DELETE, Batch, InvalidMutation, checked
 from . import manifest
 from .manifest import Conflict, Files, Segment, Version
 
 #: Level-0 segments, and segments of a deeper level, from which a level is full.
 FULL = 4
+#: Rows from which a task of its own pays for a segment; of smaller segments a task writes several.
+TASK_ROWS = 200_000
 KINDS = ("points", "ranges")
 COLUMNS = [f.name for f in LOG]
 
@@ -47,6 +52,24 @@ class Job:
     move: bool = False
 
 
+class Line:
+    """Segments in the order of their first keys, to find those that meet a range of keys without a look at all."""
+
+    def __init__(self, segments: list[Segment]):
+        self.segments = sorted(segments, key=lambda s: s.first_key)
+        self.first = [s.first_key for s in self.segments]
+        self.last = list(accumulate((s.last_key for s in self.segments), max))  # the largest so far
+
+    def meeting(self, low: str, high: str) -> list[Segment]:
+        return [s for s in self.segments[bisect_left(self.last, low) : bisect_right(self.first, high)] if s.last_key >= low]
+
+    def beside(self, low: str, high: str) -> list[Segment]:
+        """The nearest segments that lie wholly before and after a range."""
+        at = bisect_right(self.first, high)
+        left = next((s for s in reversed(self.segments[:at]) if s.last_key < low), None)
+        return [s for s in (left, *self.segments[at : at + 1]) if s is not None]
+
+
 class Store:
     """levels: how many there are; the deepest has no limit.  segment_rows: rows of a segment that a rewrite makes.
 
@@ -68,11 +91,12 @@ class Store:
 
     def swap(self, v: Version, gone: tuple[Segment, ...], made: tuple[Segment, ...], next_segment: int, tries: int = 5) -> Version:
         """Commits made instead of gone; writes that others commit meanwhile stay, other changes of the segments are a conflict."""
+        out = set(gone)
         for _ in range(tries):
             now = self.version()
             if now.segments != v.segments or now.next_segment != v.next_segment:
                 raise Conflict("the segments have changed")
-            kept = tuple(s for s in now.segments if s not in gone)
+            kept = tuple(s for s in now.segments if s not in out)
             try:
                 return self.commit(replace(now, segments=(*kept, *made), next_segment=next_segment))
             except Conflict:
@@ -204,15 +228,15 @@ class Store:
 
     # maintenance
 
-    def seal(self, rows: DataFrame, first_id: int, level: int, entries: int, node_id: int = 0, seal_wall: int = 0, keys: DataFrame | None = None) -> list[Segment]:
-        """Writes rows, at most about so many entries, as sorted segments of segment_rows each; their ids follow first_id.
+    def seal(self, rows: DataFrame, first_id: int, level: int, entries: int, node_id: int = 0, seal_wall: int = 0) -> list[Segment]:
+        """Writes rows, of which there are so many entries, as sorted segments of about segment_rows each; their ids follow first_id.
 
         Every version of a key lies in one segment; a range delete is cut where
-        segments are.  keys: other rows with keys like those, to sample the cuts from.
+        segments are.  rows are read more than once, and should be a table.
         """
         path = f"segments/{first_id:010d}-{uuid.uuid4().hex}"
-        outs = max(1, -(-entries // self.segment_rows))
-        bounds = sampled_bounds(rows if keys is None else keys, "key", outs)
+        outs = max(1, round(entries / self.segment_rows))
+        bounds = even_bounds(rows, entries, outs)
         kind = F.when(F.col("op") == RANGE_DELETE, "ranges").otherwise("points")
         put = rows.withColumn("out", bin_of(F.col("key"), bounds))
         if bounds:
@@ -227,10 +251,10 @@ class Store:
                 }
             ).drop("_low")
         put = put.withColumns({"segment_id": (F.lit(first_id) + F.col("out")).cast("long"), "kind": kind})
-        parts = max(outs, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        parts = max(min(outs, -(-entries // TASK_ROWS)), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         sorted_ = put.select(*COLUMNS, "out", "kind").repartitionByRange(parts, "out", "key").sortWithinPartitions("out", "kind", "key", F.desc("seq"))
         writer = sorted_.write.partitionBy("out", "kind").option("parquet.block.size", self.row_group)
-        writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "100000").parquet(f"{self.root}/{path}")
+        writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(min(100_000, self.segment_rows))).parquet(f"{self.root}/{path}")
         return self.describe(path, level, node_id, seal_wall, "out={}", first_id)
 
     def describe(self, path: str, level: int, node_id: int = 0, seal_wall: int = 0, below: str = "", first_id: int = 0) -> list[Segment]:
@@ -288,46 +312,68 @@ class Store:
                 run = v.level(level)
                 if not self.wants(v, level, pressure) or pressure and self.wants(v, level):
                     continue
+                below = Line(v.level(level + 1))
                 if level:
-                    below = v.level(level + 1)
-                    groups = [[s] for s in sorted(run, key=lambda s: (sum(s.overlaps(b.first_key, b.last_key) for b in below), s.segment_id))]
+                    groups = [[s] for s in sorted(run, key=lambda s: (len(below.meeting(s.first_key, s.last_key)), s.segment_id))]
                 else:
                     nodes = sorted({s.node_id for s in run}, key=lambda n: (-sum(s.node_id == n for s in run), n))
                     groups = [[s for s in run if s.node_id == n] for n in nodes]
                 for sources in groups:
-                    if (job := self.job(v, level, sources)) is not None:
+                    if (job := self.job(v, level, sources, below)) is not None:
                         yield job
 
-    def job(self, v: Version, level: int, sources: list[Segment]) -> Job | None:
+    def job(self, v: Version, level: int, sources: list[Segment], below: Line | None = None) -> Job | None:
         """The job that takes sources of one node a level down; None if another node's segment there is in the way.
 
         It takes the segments below that they overlap, and a small one beside these
         at either end.  A segment that overlaps nothing and is not small moves.
+        below: the segments of the next level, if they are in order already.
         """
         node = sources[0].node_id
         low, high = min(s.first_key for s in sources), max(s.last_key for s in sources)
-        below = sorted(v.level(level + 1), key=lambda s: s.first_key)
-        if any(s.node_id != node and s.overlaps(low, high) for s in below):
+        below = below or Line(v.level(level + 1))
+        run = below.meeting(low, high)
+        if any(s.node_id != node for s in run):
             return None
-        run = [s for s in below if s.overlaps(low, high)]
         if level and len(sources) == 1 and not run and not self.small(sources[0]):
             return Job(level, tuple(sources), (), move=True)
-        left = [s for s in below if s.last_key < low and s not in run]
-        right = [s for s in below if s.first_key > high and s not in run]
-        beside = [s for s in [*left[-1:], *right[:1]] if s.node_id == node and self.small(s)]
+        beside = [s for s in below.beside(low, high) if s.node_id == node and self.small(s)]
         return Job(level, tuple(sources), (*run, *beside))
 
     def pending(self) -> bool:
         return next(self.jobs(self.version()), None) is not None
 
+    def moving(self, v: Version, level: int) -> set[Segment]:
+        """The segments of a level that may move down together: those of the first jobs, up to one that is no move, until the level is no longer full."""
+        most = len(v.level(level)) - (1 if self.under_pressure(v) else FULL) + 1
+        out: set[Segment] = set()
+        spans: list[tuple[str, str]] = []  # of those, in order
+        for job in self.jobs(v):
+            if not job.move or job.level != level or len(out) == most:
+                break
+            s = job.sources[0]
+            i = bisect_left(spans, (s.first_key, s.last_key))
+            if not any(s.overlaps(*span) for span in spans[max(0, i - 1) : i + 1]):  # else it would not move after the other
+                spans.insert(i, (s.first_key, s.last_key))
+                out.add(s)
+        return out
+
+    def moved(self, v: Version) -> Version:
+        """A version after all moves that come before the next rewrite, down as many levels as they go."""
+        while (job := next(self.jobs(v), None)) is not None and job.move:
+            down = self.moving(v, job.level)
+            v = replace(v, segments=tuple(replace(s, level=s.level + 1) if s in down else s for s in v.segments))
+        return v
+
     def compact_step(self, purge_before: int = 0) -> bool:
-        """One bounded compaction, if there is a job: a move, or one rewrite of the segments that meet, and one commit."""
+        """One bounded compaction, if there is a job, and one commit: all moves that come before a rewrite, or one rewrite of the segments that meet."""
         v = self.version()
         job = next(self.jobs(v), None)
         if job is None:
             return False
         if job.move and not purge_before:
-            self.swap(v, job.sources, tuple(replace(s, level=job.level + 1) for s in job.sources), v.next_segment)
+            pairs = [(a, b) for a, b in zip(v.segments, self.moved(v).segments, strict=True) if a != b]
+            self.swap(v, tuple(a for a, _ in pairs), tuple(b for _, b in pairs), v.next_segment)
         else:
             self.rewrite(v, [*job.sources, *job.targets], job.level + 1, purge_before)
         return True
@@ -346,15 +392,26 @@ class Store:
             self.rewrite(v, own, level, purge_before)
 
     def rewrite(self, v: Version, inputs: list[Segment], level: int, purge_before: int = 0) -> list[Segment]:
-        """Merges segments of one node through the retention rules into segments at a level."""
+        """Merges segments of one node through the retention rules into segments at a level.
+
+        What survives is a table first, so that it is counted: segments are sized by
+        the rows that they get, not by those that were merged.
+        """
         node = inputs[0].node_id
         low, high = min(s.first_key for s in inputs), max(s.last_key for s in inputs)
-        outside = [s for s in v.segments if s not in inputs]
-        rows = self.rows_of(inputs)
+        taken = set(inputs)
+        outside = [s for s in v.segments if s not in taken]
+        rows, ranges = (self.rows_of(inputs, (kind,)) for kind in KINDS)
         rivals = manifest.frame(self.spark, replace(v, segments=tuple(s for s in outside if s.overlaps(low, high))))
         wall = max(s.seal_wall for s in inputs)
-        kept = compact(rows, sorted(v.snapshots.values()), purge_before, not v.unsealed, rivals, node, wall)
-        made = self.seal(kept, v.next_segment, level, sum(s.entry_count for s in inputs), node, wall, keys=rows)
+        kept = compact(rows, sorted(v.snapshots.values()), purge_before, not v.unsealed, rivals, node, wall, ranges)
+        path = new_path(self.spark, "kept")
+        try:
+            kept.write.parquet(path)
+            table = self.spark.read.schema(LOG).parquet(path)
+            made = self.seal(table, v.next_segment, level, table.count(), node, wall)
+        finally:
+            drop(self.spark, [path])
         self.swap(v, tuple(inputs), tuple(made), max([v.next_segment, *(s.segment_id + 1 for s in made)]))
         return made
 
