@@ -68,3 +68,14 @@ def test_bounds_reach_the_scan(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     plan = resolve(spark.read.parquet(f"{tmp_path}/log"), 500, 0, "000010", "000020")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(seq,500)" in plan and "GreaterThanOrEqual(key,000010)" in plan and "LessThan(key,000020)" in plan
+
+
+def test_covers_of_more_ranges_than_the_driver_takes(spark, tmp_path):
+    from tidemark.operators.tombstones import FEW_RANGES
+
+    kind = "case when id % 5 = 0 then 'error' when id % 5 = 1 then 'click' else 'view' end as event_type"
+    spark.range(5 * (FEW_RANGES + 500)).selectExpr("id as event_id", "id div 5 as user_id", kind, "cast(id % 97 as double) as value").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.key, r.cover) for r in QUERIES["covering_tombstones"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLE_SQL["covering_tombstones"]).fetchall()) and len(got) > FEW_RANGES

@@ -247,7 +247,7 @@ def as_of_watermarks(log, n):
 @query("p AS (SELECT DISTINCT key FROM log WHERE op <> 3) SELECT p.key, max(r.seq) AS cover FROM p JOIN log r ON r.op = 3 AND r.key <= p.key AND p.key < r.val GROUP BY p.key")
 def covering_tombstones(log, n):
     points, ranges = read(log)
-    return tombstones.newest_cover(points.select("key").distinct(), ranges, "few")
+    return tombstones.newest_cover(points.select("key").distinct(), ranges)
 
 
 @query("p AS (SELECT DISTINCT key FROM log WHERE op <> 3) SELECT p.key, max(r.seq) AS cover FROM p JOIN log r ON r.op = 3 AND r.key <= p.key AND p.key < r.val GROUP BY p.key")
